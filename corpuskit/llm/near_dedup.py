@@ -7,6 +7,12 @@ similarity rather than the overlap of their sets. Pairs that agree on any sketch
 candidate stands if the edit distance of the two word sequences, by a bit-parallel alignment in
 the band that the threshold allows, is at most (1 - threshold) x the longer one's words.
 
+A bucket's members are held against its least id first, then those still apart against each other. Passages that many
+documents share fill buckets with documents that aren't similar; a bucket of over LEAF members is
+therefore refined, as in an LSH forest, by each of the next SPAN sketches in turn, down to DEPTH sketches, and in
+every such bucket members of like length are held against the least id among them. So the work follows the
+number of documents, whatever they share, and large groups of copies are found by their least ids.
+
 Defined results: a null text is never a duplicate; texts without words are duplicates where they are equal; a
 text of fewer than k words is one k-mer; equal rows, or rows of one id, are copies of each other (the text of
 an id that has several is its least); rows of null id have no name for a pair, so they pass unchanged and ungrouped.
@@ -16,16 +22,18 @@ An empty table gives an empty one. Only the id and text columns are read; others
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm._spark import cut, free_name
+from corpuskit.llm._spark import cut, free_name, maybe_broadcast
 from corpuskit.llm._text import mix, pieces, shingles, word_hashes
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 20, 0.75
+LEAF, SPAN, DEPTH = 64, 4, 4
 
 _PLACE_BITS = 24
 _LOW = np.uint64((1 << _PLACE_BITS) - 1)
@@ -151,16 +159,18 @@ def _similar(a: list[int], b: list[int], threshold: float) -> bool:
 
 
 def _sketch_udf(k: int, ell: int, sketches: int):
-    @F.pandas_udf("struct<key: string, sketches: array<bigint>>")
+    @F.pandas_udf("struct<key: string, words: bigint, sketches: array<bigint>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             keys: list = []
             rows: list = []
+            counts: list = []
             values = texts.tolist()
             for piece in pieces(values):
                 part = values[piece]
                 found, n = order_sketches(part, k, ell, sketches)
                 words, offsets = word_hashes(part)
+                counts += n.tolist()
                 each = iter(found.view(np.int64).tolist())
                 for i, text in enumerate(part):
                     if n[i]:
@@ -172,7 +182,7 @@ def _sketch_udf(k: int, ell: int, sketches: int):
                     else:
                         keys.append(None if text is None else "-" + text)
                         rows.append(None)
-            yield pd.DataFrame({"key": keys, "sketches": rows})
+            yield pd.DataFrame({"key": keys, "words": counts, "sketches": rows})
 
     return sketch
 
@@ -193,6 +203,8 @@ def _verify(threshold: float):
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts (id, text) are similar enough."""
+    named = maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = texts.join(named, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -223,18 +235,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     """(id_col, group_id, kept) for each id: group_id is the least id of its group, which alone is kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     made = _sketch_udf(k, ell, sketches)("text")
-    sketched = texts.withColumn("s", made).select("id", F.coalesce("s.key", F.concat(F.lit("null"), F.col("id").cast("string"))).alias("key"), F.col("s.sketches").alias("sketches"))
-    exact = cut(sketched.withColumn("rep", F.min("id").over(Window.partitionBy("key"))).withColumn("sketches", F.when(F.col("id") == F.col("rep"), F.col("sketches"))))
-    # One row a sketch and representative. Within a bucket all are held against its least id first; what that leaves over is held against each other.
-    named = exact.where("id = rep and sketches is not null").select("id", F.posexplode("sketches").alias("i", "h"))
-    buckets = cut(named.groupBy("i", "h").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct())
-    stars = buckets.select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).where("a <> b").distinct()
-    reps = texts.groupBy("id").agg(F.min("text").alias("text"))
-    found = cut(verified(stars, texts if _unique(texts) else reps, threshold))
+    sketched = texts.withColumn("s", made).select("id", F.coalesce("s.key", F.concat(F.lit("null"), F.col("id").cast("string"))).alias("key"), F.col("s.words").alias("words"), F.col("s.sketches").alias("sketches"))
+    exact = cut(sketched.withColumn("rep", F.min("id").over(Window.partitionBy("key"))).drop("key"))
+    stars, leaves = _candidates(exact.where("id = rep and sketches is not null").select("id", "words", "sketches"), sketches, threshold)
+    one = texts if _unique(texts) else texts.groupBy("id").agg(F.min("text").alias("text"))
+    found = verified(stars, one, threshold)
     linked = components(found.unionByName(exact.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
-    rest = _left_over(buckets, linked)
+    rest = cut(_left_over(leaves, linked, threshold))
     if not rest.isEmpty():
-        more = cut(verified(rest, texts if _unique(texts) else reps, threshold))
+        more = verified(rest, one, threshold)
         linked = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     ids = exact.select("id").distinct()
     out = ids.join(linked, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))
@@ -247,15 +256,42 @@ def _unique(texts: DataFrame) -> bool:
     return n == distinct
 
 
-def _left_over(buckets: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that aren't in one component with its least id, nor with each other."""
-    each = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")).join(linked, "id", "left")
-    roots = each.groupBy("bucket").agg(F.collect_set(F.struct(F.coalesce("root", "id").alias("root"), F.col("id").alias("id"))).alias("m"))
-    least = F.array_min(F.transform("m", lambda x: x["id"]))
-    own = F.array_max(F.transform(F.filter("m", lambda x: x["id"] == F.col("least")), lambda x: x["root"]))
-    apart = roots.withColumn("least", least).withColumn("own", own).withColumn("m", F.filter("m", lambda x: x["root"] != F.col("own"))).where("size(m) > 1")
+def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of least ids and the others in their buckets, buckets (m: array of (id, words)) of 2 to LEAF members)."""
+    by = float(-np.log(threshold))
+    level = docs.select("id", "words", F.posexplode("sketches").alias("i", "h"))
+    stars, leaves = [], []
+    for depth in range(DEPTH):
+        keys = [c for c in level.columns if c in ("i", "h")]
+        members = F.array_sort(F.collect_set(F.struct("id", "words")))
+        buckets = cut(level.groupBy(*keys).agg(members.alias("m")).where("size(m) > 1").select("i", F.xxhash64("i", "h").alias("h"), "m"))
+        leaf = buckets.where(F.size("m") <= LEAF).select("m")
+        leaves.append(leaf)
+        stars.append(leaf.select(F.col("m")[0]["id"].alias("a"), F.explode(F.transform("m", lambda x: x["id"])).alias("b")))
+        hot = buckets.where(F.size("m") > LEAF).select("i", "h", F.explode("m").alias("x")).select("i", "h", "x.id", "x.words")
+        # Classes of length overlap by half, so that texts of like length have one in common.
+        place = F.log("words") / by
+        classed = hot.select("h", "id", F.explode(F.array(F.floor(place), F.floor(place + 0.5) + 1_000_000)).alias("c"))
+        classed = classed.groupBy("h", "c").agg(F.min("id").alias("a"), F.collect_set("id").alias("bs"))
+        stars.append(classed.select("a", F.explode("bs").alias("b")))
+        if depth == DEPTH - 1 or hot.isEmpty():
+            break
+        more = hot.join(docs.select("id", "sketches"), "id")
+        further = F.explode(F.sequence(F.lit(1), F.lit(min(SPAN, sketches - 1)))).alias("o")
+        more = more.select("id", "words", "h", "sketches", "i", further).withColumn("i", (F.col("i") + F.col("o")) % sketches)
+        level = more.select("id", "words", "i", F.xxhash64("h", "o", F.get("sketches", F.col("i"))).alias("h"))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return cut(union(stars).where("a <> b").distinct()), union(leaves)
+
+
+def _left_over(leaves: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a leaf's members of like length that aren't in one component yet."""
+    each = leaves.distinct().select(F.xxhash64("m").alias("leaf"), F.explode("m").alias("x")).select("leaf", "x.id", "x.words")
+    each = each.join(linked, "id", "left").select("leaf", F.struct("id", "words", F.coalesce("root", "id").alias("root")).alias("x"))
+    apart = each.groupBy("leaf").agg(F.collect_list("x").alias("m")).where(F.size(F.array_distinct(F.transform("m", lambda x: x["root"]))) > 1)
     pairs = apart.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    return pairs.where("x.id < y.id and x.root <> y.root").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = pairs.where("x.id < y.id and x.root <> y.root").where(F.least("x.words", "y.words") >= threshold * F.greatest("x.words", "y.words") - 1e-9)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
