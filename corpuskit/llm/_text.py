@@ -45,23 +45,33 @@ def pieces(texts: Sequence[str | None], most: int = PIECE_CHARS) -> Iterator[sli
         yield slice(begin, len(texts))
 
 
-def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets): the words of text i are offsets[i]:offsets[i + 1]."""
+def scan(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each word starts, where it ends, offsets): the words of text i are offsets[i]:offsets[i + 1]."""
     joined = "\0".join((t or "").replace("\0", " ") for t in texts).lower() + "\0"
     data = np.frombuffer(joined.encode("utf-8", "replace"), dtype=np.uint8)
-    inside = _IS_WORD[data]
-    change = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    starts = np.flatnonzero(change == 1)
+    change = np.diff(_IS_WORD[data].view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     offsets[1:] = np.searchsorted(starts, np.flatnonzero(data == 0))
+    return data, starts, ends, offsets
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hash of each word that scan() found."""
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), offsets
+        return np.zeros(0, dtype=np.uint64)
     lengths = np.diff(starts, append=len(data))
     data = data[starts[0] :]
     at = np.arange(len(data), dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), lengths)
     values = _BYTE[data]
     values *= _POWER[at & 4095]
-    return mix(np.add.reduceat(values, starts - starts[0])), offsets
+    return mix(np.add.reduceat(values, starts - starts[0]))
+
+
+def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets)."""
+    data, starts, _, offsets = scan(texts)
+    return hash_words(data, starts), offsets
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
