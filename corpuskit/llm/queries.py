@@ -5,20 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuskit.llm import near_dedup
+from corpuskit.llm import fingerprints, mixing, near_dedup, packing, sharding, token_blocks, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.in_corpus(table(spark, sf_dir, "documents"))
+    # The oracle's arrays are compared as text.
+    return made.withColumn("sketch", F.array_join("sketch", ",")).withColumn("containment", F.round("containment", 9)).withColumn("shared", F.col("shared").cast("bigint"))
+
+
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.evaluate(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), sharding.hash_key("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op4_token_blocks": op4_token_blocks,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_url_lists": op6_url_lists,
+    "op7_packing": op7_packing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_fingerprints": fingerprints.IN_CORPUS_SQL,
+    "op6_url_lists": url_lists.EVALUATE_SQL,
+}
