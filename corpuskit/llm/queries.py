@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import fingerprints, mixing, near_dedup, packing, sharding, token_blocks, toxicity, url_lists
+from corpuskit.llm import ann, fingerprints, mixing, near_dedup, packing, pii, sharding, token_blocks, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -52,10 +60,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_ann": op3_ann,
     "op4_token_blocks": op4_token_blocks,
     "op5_fingerprints": op5_fingerprints,
     "op6_url_lists": op6_url_lists,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
 }
