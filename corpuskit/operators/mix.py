@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpuskit.config import SEED
 from corpuskit.functions import text as T
@@ -16,14 +17,24 @@ def numbered(df: DataFrame, *order: Column | str, by: Sequence[str] = (), name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def ranked(df: DataFrame, order: str, name: str = "n") -> DataFrame:
-    """df with global numbers from 0 in order, without one task that sorts everything: rows are sorted in ranges, and each range's rows are numbered from the count of those before."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    spot = parts.withColumn("__mono", F.monotonically_increasing_id())
-    counts = spot.groupBy("__part").agg(F.count("*").alias("__rows"), F.min("__mono").alias("__first"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = spot.join(F.broadcast(before.drop("__rows")), "__part")  # a row for each partition
-    return joined.withColumn(name, F.col("__before") + F.col("__mono") - F.col("__first")).drop("__part", "__mono", "__before", "__first")
+def ranked(df: DataFrame, order: str, name: str = "n", buckets: int = 256) -> DataFrame:
+    """df with global numbers from 0 in order, without one task that sorts everything.
+
+    Rows are put in buckets that follow the order, by prefix if it is a string (a digest's are even) and by approximate quantiles
+    otherwise; a row's number is that in its bucket on top of the rows of all buckets before. Any buckets give the same numbers.
+    """
+    if isinstance(df.schema[order].dataType, StringType):
+        place = F.coalesce(F.substring(order, 1, 3), F.lit(""))
+    else:
+        cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)])).first()[0] or []
+        bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
+        place = F.size(F.filter(bounds, lambda c: c <= F.col(order)))
+    spot = df.withColumn("__part", place)
+    counts = spot.groupBy("__part").agg(F.count("*").alias("__rows"))
+    before = counts.select("__part", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = spot.join(F.broadcast(before), "__part")  # a row a bucket
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return joined.withColumn(name, F.col("__before") + within - 1).drop("__part", "__before")
 
 
 def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
