@@ -38,7 +38,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_lists.evaluate(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
+    found = url_lists.evaluate(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
+    return found.withColumn("valid_from", F.unix_seconds("valid_from"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

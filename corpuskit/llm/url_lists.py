@@ -135,6 +135,6 @@ WITH own AS (
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern, list_name) AS r, count(*) OVER (PARTITION BY page_id) AS active FROM matched
 )
-SELECT p.page_id, p.host, b.pattern IS NOT NULL AS blocked, b.list_name, b.pattern, b.ts AS valid_from, coalesce(b.active, 0)::BIGINT AS active
+SELECT p.page_id, p.host, b.pattern IS NOT NULL AS blocked, b.list_name, b.pattern, epoch(b.ts)::BIGINT AS valid_from, coalesce(b.active, 0)::BIGINT AS active
 FROM parsed p LEFT JOIN best b ON b.page_id = p.page_id AND b.r = 1
 """
