@@ -6,12 +6,14 @@ lower-cased text. The hashes depend on the words alone, never on batch or partit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Characters that are worked on at a time; a longer text is one piece of its own.
+#: Characters that are worked on at a time; a longer text is taken in segments.
 PIECE_CHARS = 1_000_000
+_GAP = re.compile(r"[ \t\n\r]")
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,8 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(texts: Sequence[str | None], most: int = PIECE_CHARS) -> Iterator[slice]:
+def pieces(texts: Sequence[str | None], most: int | None = None) -> Iterator[slice]:
     """Slices of the texts that hold at most `most` characters, or one text."""
+    most = most or PIECE_CHARS
     begin = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -45,6 +48,18 @@ def pieces(texts: Sequence[str | None], most: int = PIECE_CHARS) -> Iterator[sli
         yield slice(begin, len(texts))
 
 
+def segments(text: str, most: int | None = None) -> Iterator[str]:
+    """The text in segments of about `most` characters, cut at white space; a run without any that is longer than that is cut as well."""
+    most = most or PIECE_CHARS
+    begin = 0
+    while len(text) - begin > most:
+        gap = _GAP.search(text, begin + most, begin + 2 * most)
+        end = gap.start() if gap else min(begin + 2 * most, len(text))
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
 def scan(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all texts, where each word starts, where it ends, offsets): the words of text i are offsets[i]:offsets[i + 1]."""
     joined = "\0".join((t or "").replace("\0", " ") for t in texts).lower() + "\0"
@@ -70,6 +85,9 @@ def hash_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets)."""
+    if len(texts) == 1 and texts[0] and len(texts[0]) > PIECE_CHARS:
+        parts = [hash_words(*scan([t])[:2]) for t in segments(texts[0])]
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
     data, starts, _, offsets = scan(texts)
     return hash_words(data, starts), offsets
 

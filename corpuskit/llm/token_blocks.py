@@ -98,8 +98,8 @@ def encode(streams: list[np.ndarray], block: int = BLOCK, percentile: float = PE
     head["least"], head["width"], head["n"], head["exceptions"] = least, width, n, exceptions
     out[start[:, None] + np.arange(_HEAD.itemsize)] = head.view(np.uint8).reshape(total, -1)
     kept = np.where(over, 0, values)
-    for w in np.unique(width[width > 0]):
-        own = np.flatnonzero(width == w)
+    groups = [(w, np.flatnonzero(width == w)) for w in np.unique(width[width > 0])]
+    for w, own in ((w, g[i : i + 2048]) for w, g in groups for i in range(0, len(g), 2048)):  # bits take 32 times the room
         bits = np.unpackbits(kept[own].astype("<u4").view(np.uint8).reshape(len(own), block, 4), axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
         column = np.arange(packed.shape[1])

@@ -13,7 +13,7 @@ that parts its classes best. Scoring covers whole texts of all rows.
 
 Defined results: a null text or id isn't used to fit; a null text scores null and isn't toxic; a text
 without words has no window and scores 0; without labels of both classes every text scores 0; of several labels of one id the
-highest counts; repeated rows score alike; an empty table gives an empty one. Other columns can have any name.
+highest counts; a text of over PIECE_CHARS characters is scored in segments with windows across their cuts; repeated rows score alike; an empty table gives an empty one. Other columns can have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm._spark import free_name
+from corpuskit.llm import _text
 from corpuskit.llm._text import hash_words, mix, pieces, scan
 
 WINDOW, STRIDE = 32, 16
@@ -144,7 +145,7 @@ class Network:
         gates = self.project(f)
         out = np.empty(len(start), dtype=np.float32)
         place = np.arange(WINDOW)
-        for i in range(0, len(start), at_once):
+        for i in range(0, len(start), at_once):  # few windows at a time stay in the cache
             part = slice(i, i + at_once)
             valid = place < words[part, None]
             index = np.where(valid, f.words[np.minimum(start[part, None] + place, len(f.words) - 1)], f.n)
@@ -155,14 +156,25 @@ class Network:
         """(score of each text in 0..1, its number of windows)."""
         score, count = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         for piece in pieces(texts):
-            f = Features(texts[piece])
-            text, start, words = windows(f.offsets)
-            if len(text):
-                value = self.score_windows(f, start, words).astype(np.float64)
-                first = np.flatnonzero(np.diff(text, prepend=-1))
-                at = piece.start + text[first]
-                score[at] = 1 / (1 + np.exp(self.cut - np.maximum.reduceat(value, first)))
-                count[at] = np.diff(first, append=len(text))
+            if len(texts[piece.start] or "") > _text.PIECE_CHARS:
+                # One long text. Its segments' windows start anew, and others bridge the cuts.
+                parts = list(_text.segments(texts[piece.start]))
+                bridges = [" ".join(a[-20 * WINDOW :].split()[-WINDOW:] + b[: 20 * WINDOW].split()[:WINDOW]) for a, b in zip(parts, parts[1:], strict=False)]
+                own = [self._score_piece([t]) for t in parts + bridges]
+                score[piece], count[piece] = max(s[0] for s, _ in own), sum(n[0] for _, n in own)
+            else:
+                score[piece], count[piece] = self._score_piece(texts[piece])
+        return score, count
+
+    def _score_piece(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        score, count = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        f = Features(texts)
+        text, start, words = windows(f.offsets)
+        if len(text):
+            value = self.score_windows(f, start, words).astype(np.float64)
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            score[text[first]] = 1 / (1 + np.exp(self.cut - np.maximum.reduceat(value, first)))
+            count[text[first]] = np.diff(first, append=len(text))
         return score, count
 
     def gradients(self, f: Features, index: np.ndarray, valid: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:

@@ -104,3 +104,16 @@ def test_queries_over_tables(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in out)
     assert tx.scores(docs, labels.limit(0)).where("score > 0 or toxic").count() == 0
     assert tx.scores(docs.limit(0), labels).count() == 0
+
+
+def test_very_long_texts_are_scored_whole(net, monkeypatch):
+    from corpuskit.llm import _text
+
+    clean = " ".join(labelled(40, seed=3)[0][1:4]) + " "
+    monkeypatch.setattr(_text, "PIECE_CHARS", 400)
+    long = (clean * 20).strip()
+    assert "".join(_text.segments(long)) == long and len(list(_text.segments(long))) > 10
+    assert net.score_texts([long, clean])[0].max() < 0.5
+    for part in (1, 5, 9):
+        at = sum(map(len, list(_text.segments(long))[:part]))
+        assert (net.score_texts(["x", long[:at] + " zorgumen" + long[at:], "y"])[0] >= 0.5).tolist() == [False, True, False]
