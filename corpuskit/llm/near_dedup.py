@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpuskit.llm._spark import cut, free_name, maybe_broadcast
 from corpuskit.llm._text import mix, pieces, shingles, word_hashes
 
-K, ELL, SKETCHES, THRESHOLD = 3, 2, 20, 0.75
+K, ELL, SKETCHES, THRESHOLD = 3, 2, 32, 0.75
 LEAF, SPAN, DEPTH = 64, 4, 4
 
 _PLACE_BITS = 24
@@ -262,18 +262,17 @@ def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataF
     level = docs.select("id", "words", F.posexplode("sketches").alias("i", "h"))
     stars, leaves = [], []
     for depth in range(DEPTH):
-        keys = [c for c in level.columns if c in ("i", "h")]
-        members = F.array_sort(F.collect_set(F.struct("id", "words")))
-        buckets = cut(level.groupBy(*keys).agg(members.alias("m")).where("size(m) > 1").select("i", F.xxhash64("i", "h").alias("h"), "m"))
-        leaf = buckets.where(F.size("m") <= LEAF).select("m")
+        # Sizes come first, by a window that can spill: only leaves are gathered into arrays.
+        sized = level.withColumn("n", F.count("*").over(Window.partitionBy("i", "h")))
+        shared = cut(sized.where("n > 1"))
+        leaf = shared.where(F.col("n") <= LEAF).groupBy("i", "h").agg(F.array_sort(F.collect_set(F.struct("id", "words"))).alias("m")).select("m")
         leaves.append(leaf)
         stars.append(leaf.select(F.col("m")[0]["id"].alias("a"), F.explode(F.transform("m", lambda x: x["id"])).alias("b")))
-        hot = buckets.where(F.size("m") > LEAF).select("i", "h", F.explode("m").alias("x")).select("i", "h", "x.id", "x.words")
+        hot = shared.where(F.col("n") > LEAF).select("i", F.xxhash64("i", "h").alias("h"), "id", "words")
         # Classes of length overlap by half, so that texts of like length have one in common.
         place = F.log("words") / by
         classed = hot.select("h", "id", F.explode(F.array(F.floor(place), F.floor(place + 0.5) + 1_000_000)).alias("c"))
-        classed = classed.groupBy("h", "c").agg(F.min("id").alias("a"), F.collect_set("id").alias("bs"))
-        stars.append(classed.select("a", F.explode("bs").alias("b")))
+        stars.append(classed.select(F.min("id").over(Window.partitionBy("h", "c")).alias("a"), F.col("id").alias("b")))
         if depth == DEPTH - 1 or hot.isEmpty():
             break
         more = hot.join(docs.select("id", "sketches"), "id")

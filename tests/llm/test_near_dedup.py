@@ -130,3 +130,51 @@ def test_empty_table_and_clashing_columns(spark):
     assert nd.deduplicate(df).columns == df.columns
     full = spark.createDataFrame([(1, "p q r s", "u", 1, 2, 3), (2, "p q r s", "v", 1, 2, 3)], df.schema)
     assert [r.doc_id for r in nd.deduplicate(full).collect()] == [1]
+
+
+def test_hot_buckets_are_refined(spark, monkeypatch):
+    """Many documents share a passage, and some of them are copies: they are found although the buckets are larger than a leaf."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for i in range(60):
+        own = [word() for _ in range(r.randrange(40, 90))]
+        texts.append(" ".join(own + passage))
+        if i % 3 == 0:
+            texts.append(" ".join(w if r.random() > 0.05 else word() for w in own + passage))
+    base = [word() for _ in range(80)]
+    texts += [" ".join(w if r.random() > 0.03 else word() for w in base) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(nd, "LEAF", 6)
+    got = {x.doc_id: x.group_id for x in nd.groups(df).collect()}
+    for i in range(80):
+        for j in range(i):
+            if nd.similar(texts[i], texts[j]):
+                assert got[i] == got[j]
+    assert len({got[i] for i in range(80, 120)}) == 1 and len(set(got.values())) == 61
+
+
+def test_recall_of_candidates_at_the_threshold():
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    hit = tried = 0
+    for n in (40, 200, 800):
+        a = [[r.choice(vocabulary) for _ in range(n)] for _ in range(60)]
+        b = [[w if r.random() > 0.18 else r.choice(vocabulary) for w in x] for x in a]
+        sa, sb = (nd.order_sketches([" ".join(x) for x in t])[0] for t in (a, b))
+        for i in range(60):
+            if nd.similar(" ".join(a[i]), " ".join(b[i])):
+                tried += 1
+                hit += (sa[i] == sb[i]).any()
+    assert tried > 100 and hit / tried > 0.95
+
+
+def test_very_long_texts_hash_like_short_ones(monkeypatch):
+    from corpuskit.llm import _text
+
+    text = " ".join(f"word{i} Ünd" for i in range(500))
+    whole = word_hashes([text])[0]
+    monkeypatch.setattr(_text, "PIECE_CHARS", 100)
+    assert (word_hashes([text])[0] == whole).all() and word_hashes([text])[1].tolist() == [0, 1000]
+    assert len(word_hashes(["a" * 1000])[0]) == 5
