@@ -270,11 +270,11 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH shaped AS (SELECT doc_id AS ord, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS shape FROM documents WHERE doc_id % 3 = 0),
-     firsts AS (SELECT shape, min(ord) AS first FROM shaped GROUP BY shape), kept AS (SELECT first FROM firsts ORDER BY first LIMIT 50)
-SELECT ord, CASE WHEN ord > (SELECT max(first) FROM kept) AND (SELECT count(*) FROM kept) = 50 THEN 'source_cap' WHEN first < ord THEN 'near_duplicate' END AS drop_reason FROM shaped JOIN firsts USING (shape)""")
+     firsts AS (SELECT shape, min(ord) AS first FROM shaped GROUP BY shape), kept AS (SELECT first FROM firsts ORDER BY first LIMIT 250)
+SELECT ord, CASE WHEN ord > (SELECT max(first) FROM kept) AND (SELECT count(*) FROM kept) = 250 THEN 'source_cap' WHEN first < ord THEN 'near_duplicate' END AS drop_reason FROM shaped JOIN firsts USING (shape)""")
 def first_wins_under_a_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).where("doc_id % 3 = 0").select(F.lit("s0").alias("source"), F.col("doc_id").alias("ord"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("shape"), F.lit(False).alias("leak"))
-    return dedup.capped_first_wins(rows, 50, ["s0"]).select("ord", "drop_reason")
+    return dedup.capped_first_wins(rows, 250, ["s0"]).select("ord", "drop_reason")
 
 
 @query("""
