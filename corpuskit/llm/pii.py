@@ -8,8 +8,8 @@ c, terms of a share of at least GENERALISE, seen with c in MIN_CONTEXTS distinct
 least REMOVE go.
 
 A term is a maximal run of letters and digits, in lower case. Defined results: a null text stays null and has 0 of
-either; an empty one stays as it is; repeated rows are all sanitised alike, and their equal contexts count once; rows of one id share the terms that
-their entities disclose; rows of null id have their entities generalised, but no terms; an entity or term of few contexts discloses nothing; documents
+either; an empty one stays as it is; repeated rows are all sanitised alike, and their equal contexts count once; rows of one id that have entities share the terms that
+these disclose; rows of null id have their entities generalised, but no terms; an entity or term of few contexts discloses nothing; documents
 without entities stay as they are; an empty table gives an empty one. Other columns keep their names and values.
 """
 
@@ -20,79 +20,82 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm._spark import cut, free_name, maybe_broadcast
+from corpuskit.llm._spark import cut, free_name, small
 
 WINDOW, MIN_CONTEXTS, GENERALISE, REMOVE = 8, 3, 0.9, 0.97
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: In order of precedence. No pattern matches white space at its ends.
+_END = r"(?![A-Za-z0-9])"
+#: In order of precedence. No pattern matches white space at its ends. Each begins with what few places have, and looks back only there.
 ENTITIES: dict[str, str] = {
     "KEY": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
-    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|sk-|sk_live_|pk_live_|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_\-]{16,}"
-    r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"
-    r"|(?i:(?<![a-z0-9])[a-z0-9_]*(?:password|passwd|pwd|passphrase|secret|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?token|access[_\-]?token|secret[_\-]?key|token)[a-z0-9_]*[ ]?[=:][ ]?(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|[^\s\"',;]{5,}[^\s\"',;.:!?]))"
-    r"|(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-F]*[0-9])[0-9A-F]{32,}(?![A-Za-z0-9])",
-    "EMAIL": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "IP": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}(?![0-9A-Za-z:])",
-    "NATIONAL_ID": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "CARD": r"(?<![0-9A-Za-z.])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "PHONE": r"(?<![0-9A-Za-z])\+(?=(?:[ .\-()]{0,2}[0-9]){8})[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]{1,4}){2,6}(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z.\-])[0-9]{3}([ .\-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z])",
+    rf"|A(?<![A-Za-z0-9]A)(?:KIA|SIA)[0-9A-Z]{{16}}{_END}"
+    r"|(?:g(?<![A-Za-z0-9]g)(?:h[pousr]_|ithub_pat_|lpat-)|s(?<![A-Za-z0-9]s)k[\-_]|p(?<![A-Za-z0-9]p)k_live_|x(?<![A-Za-z0-9]x)ox[abprs]-|A(?<![A-Za-z0-9]A)Iza)[A-Za-z0-9_\-]{16,}"
+    r"|e(?<![A-Za-z0-9]e)yJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"
+    r"|(?i:(?:p(?:ass(?:word|wd|phrase)|wd|rivate[_\-]?key)|secret|a(?:pi[_\-]?key|ccess[_\-]?key)|token)[a-z0-9_]*[ ]?[=:][ ]?(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|[^\s\"',;]{5,}[^\s\"',;.:!?]))"
+    rf"|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+){_END}(?<=[0-9][A-Fa-f]{{0,24}})",
+    "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "IBAN": rf"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "IP": rf"[0-9](?<![0-9A-Za-z.][0-9])(?<=(?=[0-9.]{{7}})[0-9])(?<=(?={_OCTET}\.)[0-9])[0-9]{{0,2}}\.(?:{_OCTET}\.){{2}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}(?![0-9A-Za-z:])",
+    "NATIONAL_ID": r"[0-9](?<![0-9A-Za-z\-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
+    "CARD": rf"[0-9](?<![0-9A-Za-z.][0-9])(?:[ \-]?[0-9]){{12,18}}{_END}",
+    "PHONE": rf"\+(?<![0-9A-Za-z]\+)(?=(?:[ .\-()]{{0,2}}[0-9]){{8}})[0-9]{{1,3}}(?:[ .\-]?\([0-9]{{1,4}}\))?(?:[ .\-]?[0-9]{{1,4}}){{2,6}}{_END}"
+    rf"|\((?<![0-9A-Za-z]\()[0-9]{{2,4}}\)[ .\-]?[0-9]{{3,4}}[ .\-]?[0-9]{{3,4}}{_END}"
+    rf"|[0-9](?<![0-9A-Za-z.\-][0-9])[0-9]{{2}}([ .\-])[0-9]{{3}}\1[0-9]{{4}}{_END}",
 }
 #: Every entity has one of these, so most texts need no more than a look for them.
 _HINT = r"[0-9@=:]"
 _ANY = "|".join(f"(?:{p})" for p in ENTITIES.values()).replace(r"\1", "[ .\\-]")
-_TERM = r"[\p{L}\p{N}]+"
-
-
-def has_entity(text: Column) -> Column:
-    return F.coalesce(text.rlike(_HINT) & text.rlike(_ANY), F.lit(False))
+_BETWEEN = r"[^\p{L}\p{N}]+"
+_LEFT, _RIGHT = r"(?iu)(?<![\p{L}\p{N}<])(?:", r")(?![\p{L}\p{N}])"
 
 
 def generalised(text: Column) -> Column:
     """The text with each entity replaced by its class."""
-    return reduce(lambda t, e: F.regexp_replace(t, e[1], f"<{e[0]}>"), ENTITIES.items(), text)
+    all_ = reduce(lambda t, e: F.regexp_replace(t, e[1], f"<{e[0]}>"), ENTITIES.items(), text)
+    return F.when(text.rlike(_HINT), all_).otherwise(text)
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({_TERM})"), F.lit(1))
+    return F.filter(F.split(F.lower(text), _BETWEEN), lambda w: w != "")
 
 
 def mentions(docs: DataFrame) -> DataFrame:
     """(id, entity, context: array of terms) of each entity in the texts (id, text); an entity's own terms and other entities' are no context."""
-    marked = docs.where(has_entity(F.col("text"))).select("id", F.regexp_extract_all("text", F.lit(f"({_ANY})"), F.lit(1)).alias("e"), F.split("text", _ANY).alias("s"))
-    spans = marked.select("id", F.posexplode("e").alias("i", "entity"), "s")
-    # WINDOW terms lie within any longer stretch; what is further off needn't be taken apart.
-    near = spans.select("id", F.lower("entity").alias("entity"), F.get("s", F.col("i")).alias("before"), F.get("s", F.col("i") + 1).alias("after"))
-    before, after = _terms(F.col("before")), _terms(F.col("after"))
-    last = F.slice(before, F.greatest(F.size(before) - (WINDOW - 1), F.lit(1)), F.lit(WINDOW))
-    return near.select("id", "entity", F.concat(last, F.slice(after, 1, WINDOW)).alias("context"))
+    found = F.regexp_extract_all("text", F.lit(f"({_ANY})"), F.lit(1))
+    marked = docs.where(F.col("text").rlike(_HINT)).select("id", "text", found.alias("e")).where("size(e) > 0")
+    spans = marked.select("id", F.posexplode("e").alias("i", "entity"), F.split("text", _ANY).alias("s"))
+    near = spans.select("id", F.lower("entity").alias("entity"), _terms(F.get("s", F.col("i"))).alias("before"), _terms(F.get("s", F.col("i") + 1)).alias("after"))
+    last = F.slice("before", F.greatest(F.size("before") - (WINDOW - 1), F.lit(1)), F.lit(WINDOW))
+    return near.select("id", "entity", F.concat(last, F.slice("after", 1, WINDOW)).alias("context"))
 
 
-def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, found: DataFrame | None = None) -> DataFrame:
     """(entity, term, share) of the terms of the texts (id, text) that disclose at least the share `generalise` of an entity."""
-    seen = cut(mentions(docs).select("entity", "context").distinct())
+    seen = cut((mentions(docs) if found is None else found).select("entity", "context").distinct())
     both = seen.select("entity", F.explode(F.array_distinct("context")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     each = seen.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_contexts)
     both = cut(both.where(F.col("n_ct") >= min_contexts).join(each, "entity"))
-    wanted = both.select("term").distinct()
     if both.isEmpty():
         return both.select("entity", "term", F.lit(1.0).alias("share"))
-    words = docs.select(_terms(F.col("text")).alias("w"))
-    counts = words.select(F.explode("w").alias("term")).join(maybe_broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = words.agg(F.sum(F.size("w").cast("bigint"))).first()[0]
-    n = F.lit(float(total))
+    counts = cut(_counted(docs, both.select("term").distinct()))
+    n = F.lit(float(counts.agg(F.sum("n_t")).first()[0]))
     # Equal contexts count once, and one occurrence can be in the contexts of several mentions, so the share is held to 1.
     pmi = F.log(F.least(F.col("n_ct"), F.col("n_t")) * n / (F.col("n_c") * F.col("n_t")))
     shared = both.join(counts, "term").select("entity", "term", F.least(pmi / F.log(n / F.col("n_c")), F.lit(1.0)).alias("share"))
     return shared.where(F.col("share") >= generalise)
 
 
+def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t) of the wanted terms over all texts; null stands for all other terms together, or each has its row if the wanted are too many to broadcast."""
+    words = docs.select(F.explode(F.split(F.lower("text"), _BETWEEN)).alias("term")).where("term <> ''")
+    if small(wanted):
+        words = words.join(F.broadcast(wanted.withColumn("w", F.col("term"))), "term", "left").select(F.col("w").alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def _without(text: Column, terms: Column, by: str) -> Column:
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}<])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = F.concat(F.lit(_LEFT), F.array_join(terms, "|"), F.lit(_RIGHT))
     return F.when(F.size(terms) > 0, F.regexp_replace(text, pattern, F.lit(by))).otherwise(text)
 
 
@@ -100,24 +103,36 @@ def _sanitised(docs: DataFrame, id_col: str, text_col: str, min_contexts: int, g
     """docs with the clean text and two counts in columns whose names are given, too."""
     name = {k: free_name(docs, k) for k in ("pii_text", "pii_entities", "pii_terms", "pii_id", "pii_soft", "pii_hard")}
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = pairs.where("id is not null")
-    found = cut(disclosures(pairs, min_contexts, generalise))
-    per_doc = mentions(named).select("id", "entity").distinct().join(maybe_broadcast(found), "entity")
-    per_doc = per_doc.groupBy("id", "term").agg(F.max("share").alias("share")).groupBy(F.col("id").alias(name["pii_id"])).agg(
+    found = cut(mentions(pairs))
+    shares = disclosures(pairs, min_contexts, generalise, found)
+    per_doc = found.where("id is not null").select("id", "entity").distinct().join(shares, "entity").groupBy("id", "term").agg(F.max("share").alias("share"))
+    per_doc = cut(per_doc.groupBy(F.col("id").alias(name["pii_id"])).agg(
         F.array_sort(F.collect_list(F.when(F.col("share") < remove, F.col("term")))).alias(name["pii_soft"]),
         F.array_sort(F.collect_list(F.when(F.col("share") >= remove, F.col("term")))).alias(name["pii_hard"]),
-    )
-    text = F.col(text_col)
-    plain = docs.where(~has_entity(text)).withColumn(name["pii_text"], text).withColumn(name["pii_entities"], F.lit(0)).withColumn(name["pii_terms"], F.lit(0))
-    marked = docs.where(has_entity(text)).join(per_doc, F.col(id_col) == F.col(name["pii_id"]), "left")
+    ))
+    text, new = F.col(text_col), F.col(name["pii_text"])
+    classes = F.lit("<(?:" + "|".join(ENTITIES) + ")>")
+    # A class that the text names itself is no entity of it.
+    entities = F.when(new == text, 0).otherwise(F.regexp_count(new, classes) - F.regexp_count(text, classes))
+    out = docs.withColumn(name["pii_text"], generalised(text)).withColumn(name["pii_entities"], F.coalesce(entities, F.lit(0)))
+    out = _joined_few(out, per_doc, id_col, name["pii_id"], name["pii_entities"])
     empty = F.array().cast("array<string>")
     soft, hard = F.coalesce(F.col(name["pii_soft"]), empty), F.coalesce(F.col(name["pii_hard"]), empty)
-    # The terms of both kinds are counted in the text as it is once its entities are gone.
-    marked = marked.withColumn(name["pii_entities"], F.regexp_count(text, F.lit(_ANY))).withColumn(name["pii_text"], generalised(text))
     both = F.concat(soft, hard)
-    gone = F.when(F.size(both) > 0, F.regexp_count(F.col(name["pii_text"]), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}<])(?:"), F.array_join(both, "|"), F.lit(r")(?![\p{L}\p{N}])")))).otherwise(0)
-    marked = marked.withColumn(name["pii_terms"], gone).withColumn(name["pii_text"], _without(_without(F.col(name["pii_text"]), hard, ""), soft, "<TERM>"))
-    return plain.unionByName(marked.select(plain.columns)), name
+    gone = F.when(F.size(both) > 0, F.regexp_count(new, F.concat(F.lit(_LEFT), F.array_join(both, "|"), F.lit(_RIGHT)))).otherwise(0)
+    return out.withColumn(name["pii_terms"], F.coalesce(gone, F.lit(0))).withColumn(name["pii_text"], _without(_without(new, hard, ""), soft, "<TERM>")), name
+
+
+def _joined_few(docs: DataFrame, few: DataFrame, id_col: str, few_id: str, entities: str) -> DataFrame:
+    """docs left joined with few, which has rows of a small part of their ids. Where few is too large to broadcast, only the documents that have entities are shuffled."""
+    on = F.col(id_col) == F.col(few_id)
+    if small(few):
+        return docs.join(F.broadcast(few), on, "left")
+    has = F.coalesce(F.col(entities) > 0, F.lit(False))
+    rest = docs.where(~has)
+    for c in few.columns:
+        rest = rest.withColumn(c, F.lit(None).cast(few.schema[c].dataType))
+    return docs.where(has).join(few, on, "left").unionByName(rest)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

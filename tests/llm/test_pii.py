@@ -91,3 +91,10 @@ def test_nulls_repeats_clashes_long_and_empty(spark, least):
     got = sorted(((r.doc_id or 0, r.text and r.text.replace("word ", ""), r.n_chars) for r in out.collect()), key=repr)
     assert got == sorted([(0, "<EMAIL>", 7), (1, None, None), (2, "", 0), (3, "mail <EMAIL>", 12), (3, "mail <EMAIL>", 12), (4, "<EMAIL> ", len(long) - 8), (5, "clean", 99)], key=repr)
     assert pii.sanitise(df.limit(0), min_contexts=least).count() == 0
+
+
+def test_large_sides_are_shuffled_with_the_same_rows(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(corpus())), "doc_id bigint, text string")
+    want = sorted(map(tuple, pii.sanitise(df).collect()))
+    monkeypatch.setattr(pii, "small", lambda _: False)
+    assert sorted(map(tuple, pii.sanitise(df).collect())) == want
