@@ -65,7 +65,7 @@ class Sentinels:
 class Words:
     """Tokens that a vocabulary begins with."""
 
-    special: tuple[str, ...] = ("<|eos|>", "<|indent|>", "<|dedent|>", "<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>")
+    special: tuple[str, ...] = tuple(f"<|{w}|>" for w in "eos indent dedent fim_prefix fim_middle fim_suffix".split())
     locked: tuple[str, ...] = field(
         default=tuple("``` \n if else elif while for yield return continue break class def with lambda import as try from self except True None and False not or in is != == >= <= -= += ->".split(" "))
     )

@@ -16,7 +16,7 @@ def tree_of(code: str | None) -> ast.AST | None:
     if code is None:
         return None
     with warnings.catch_warnings():
-        warnings.simplefilter("ignore", SyntaxWarning)
+        warnings.filterwarnings("ignore", category=SyntaxWarning)
         try:
             return ast.parse(code)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -32,9 +32,10 @@ def shape_of(code: str | None) -> str | None:
         if (erased := _ERASED.get(type(node))) is not None:
             setattr(node, *erased)
     try:
-        return ast.dump(tree, annotate_fields=False)
+        found: str | None = ast.dump(tree, False)
     except RecursionError:
-        return None
+        found = None
+    return found
 
 
 @F.pandas_udf(BooleanType())

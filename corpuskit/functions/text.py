@@ -10,12 +10,13 @@ SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *ra
 FENCE = "`" * 3
 
 #: A closed fenced block: its tag, then its body.
-FENCED = r"(?s)```([a-zA-Z0-9_+-]*)[ \t]*\n(.*?)```"
+_TAG = "[-+_0-9A-Za-z]*"
+FENCED = rf"(?s)`{{3}}({_TAG})[\t ]*\n(.*?)`{{3}}"
 #: A fenced block that may lack its end.
-OPEN_FENCED = r"(?s)```[a-zA-Z0-9_+-]*[ \t\n\r\f\v]*\n(.*?)(?:```|\z)"
+OPEN_FENCED = rf"(?s)`{{3}}{_TAG}[\t\n\v\f\r ]*\n(.*?)(?:`{{3}}|\z)"
 #: Line starts are those after \n alone, and \s and \w are Unicode's, as in Python; hence the flags.
-DEF = r"(?mdU)^\s*def\s+([A-Za-z_]\w*)"
-DEF_OR_CLASS = r"(?mdU)^\s*(?:class|def)\s+([A-Za-z_]\w*)"
+DEF = r"(?mdU)^\s*def\s+([_A-Za-z]\w*)"
+DEF_OR_CLASS = r"(?mdU)^\s*(?:class|def)\s+([_A-Za-z]\w*)"
 WORD = r"[a-z0-9_]+"
 ASKS_CODE = r"(?i)\b(algorithm|calculate|class|code|compute|convert|create|def|function|generate|implement|method|parse|program|return|script|snippet|sort|write)\b"
 CONCEPTUAL = r"(?i)^\s*(describe|explain|how does|what are|what is|what's the difference|when should|why does|why is)\b"

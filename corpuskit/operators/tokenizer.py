@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from corpuskit.config import Words
 
-INDENT, DEDENT, EOS = "<|indent|>", "<|dedent|>", "<|eos|>"
-_PLAIN = r"'(?:[sdmt]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{N}\p{L}]+|\s+(?!\S)|\s+"
-_FENCED = regex.compile(r"```[\w+-]*\s*(.*?)\s*```".replace(r"[\w+-]", "[_+0-9A-Za-z-]"), regex.DOTALL)
+EOS, INDENT, DEDENT = Words().special[:3]
+#: A run of white space before a word leaves its last character to the word, or alone if that isn't a blank.
+_PLAIN = r"'(?:[sdmt]|re|ve|ll)| ?(?:\p{L}+|\p{N}+|[^\s\p{N}\p{L}]+)|\s+(?!\S)|\s"
+_FENCED = regex.compile(r"`{3}[-+_0-9A-Za-z]*\s*(.*?)\s*`{3}", regex.DOTALL)
 _MIDDLE = regex.compile(r"<\|fim_(?:suffix|prefix|middle)\|>")
 #: Distinct pre-tokens that the driver takes at most.
 MOST_WORDS = 20_000_000
@@ -149,7 +150,7 @@ class Vocabulary:
     @classmethod
     def load(cls, folder: str | Path) -> Vocabulary:
         data = json.loads((Path(folder) / "tokenizer.json").read_text())
-        ranks = {tuple(m.split(" ")): i for i, m in enumerate(data["merges"])}
+        ranks = {(left, right): rank for rank, (left, right) in enumerate(map(str.split, data["merges"]))}
         return cls({k: int(i) for k, i in data["vocab"].items()}, ranks, list(data.get("special_tokens", [])), set(data.get("special_ids", [])), list(data.get("locked", [])))
 
     def frames(self, spark) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +194,7 @@ def best_pair(pairs: DataFrame) -> DataFrame:
 
 def learn_merges(vocabulary: Vocabulary, counts: dict[str, int], size: int) -> Vocabulary:
     """Merge the most frequent pair, the least in order on a tie, until the vocabulary has had `size` - its own size turns or no pair is left. A heap holds the pairs, an index the words of each."""
-    words = [[BYTE_CHAR[b] for b in w.encode("utf-8")] for w in counts]
+    words = [list(byte_chars(w)) for w in counts]
     freq = list(counts.values())
     count: dict[tuple[str, str], int] = defaultdict(int)
     where: dict[tuple[str, str], set[int]] = defaultdict(set)

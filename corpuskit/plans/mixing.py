@@ -101,7 +101,7 @@ def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.epoch_batches(documents(spark, sf_dir).select("ord"), 32, epoch=3)
 
 
-_MEANS = {"codeparrot": 1100, "cosmo": 900, "glaive": 210, "tinycodes": 170, "magicoder_evol": 240, "codefeedback": 230, "magicoder_oss": 260}
+_MEANS = dict(zip("codefeedback codeparrot cosmo glaive magicoder_evol magicoder_oss tinycodes".split(), (230, 1100, 900, 210, 240, 260, 170), strict=True))
 _SOURCES = ", ".join(f"('{s.name}', {s.weight}::DOUBLE, {_MEANS[s.name]}::DOUBLE, {str(s.is_code).lower()})" for s in SOURCES)
 
 

@@ -136,7 +136,7 @@ def bare_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH wrapped AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Here:\n{FENCE}python\n\n' || text || '\n{FENCE}\ndone' WHEN 1 THEN '{FENCE}\n' || text ELSE '  ' || text || '\n' END AS c FROM documents)
-SELECT doc_id, CASE WHEN contains(c, '{FENCE}') THEN trim(regexp_extract(c, '(?s){FENCE}[a-zA-Z0-9_+-]*[ \\t\\n\\r\\f\\v]*\\n(.*?)(?:{FENCE}|\\z)', 1), '\n') ELSE trim(c, ' \n\t\r') END AS code,
+SELECT doc_id, CASE WHEN contains(c, '{FENCE}') THEN trim(regexp_extract(c, '{T.OPEN_FENCED}', 1), '\n') ELSE trim(c, ' \n\t\r') END AS code,
        trim(split_part(c, '{FENCE}', 1), '\n') AS before_fence FROM wrapped""")
 def extracted_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("doc_id"), F.col("text")
@@ -166,7 +166,7 @@ def word_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH m AS (SELECT doc_id, text || '\n{FENCE}Py\nx = ' || doc_id || '\n{FENCE}\nand\n{FENCE}  \ny\n{FENCE}' || CASE WHEN doc_id % 2 = 0 THEN '\n{FENCE}open\nz' ELSE '' END AS t FROM documents)
-SELECT doc_id, len(l) AS blocks, lower(l[1]) AS first_lang, b[1] AS first_body, b[-1] AS last_body FROM (SELECT doc_id, regexp_extract_all(t, '(?s){FENCE}([a-zA-Z0-9_+-]*)[ \\t]*\\n(.*?){FENCE}', 1) AS l, regexp_extract_all(t, '(?s){FENCE}([a-zA-Z0-9_+-]*)[ \\t]*\\n(.*?){FENCE}', 2) AS b FROM m)""")
+SELECT doc_id, len(l) AS blocks, lower(l[1]) AS first_lang, b[1] AS first_body, b[-1] AS last_body FROM (SELECT doc_id, regexp_extract_all(t, '{T.FENCED}', 1) AS l, regexp_extract_all(t, '{T.FENCED}', 2) AS b FROM m)""")
 def fenced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat("text", F.lit(f"\n{FENCE}Py\nx = "), F.col("doc_id").cast("string"), F.lit(f"\n{FENCE}\nand\n{FENCE}  \ny\n{FENCE}"), F.when(F.col("doc_id") % 2 == 0, f"\n{FENCE}open\nz").otherwise(""))
     b = documents(spark, sf_dir).select("doc_id", T.fenced_blocks(t).alias("b"))
@@ -175,7 +175,7 @@ def fenced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE text || '\nclass C' || doc_id || ':\n  def  m_' || doc_id || '(self)\n' || CASE WHEN doc_id % 2 = 0 THEN 'class Last\n' ELSE '' END END AS t FROM documents)
-SELECT doc_id, len(regexp_extract_all(t, '(?m)^\\s*def\\s+([A-Za-z_]\\w*)', 1)) AS defs, coalesce(regexp_extract_all(t, '(?m)^\\s*(?:class|def)\\s+([A-Za-z_]\\w*)', 1)[-1], 'solution') AS entry_point FROM c""")
+SELECT doc_id, len(regexp_extract_all(t, '(?m)^\\s*def\\s+([_A-Za-z]\\w*)', 1)) AS defs, coalesce(regexp_extract_all(t, '(?m)^\\s*(?:class|def)\\s+([_A-Za-z]\\w*)', 1)[-1], 'solution') AS entry_point FROM c""")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id").cast("string")
     c = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\nclass C"), k, F.lit(":\n  def  m_"), k, F.lit("(self)\n"), F.when(F.col("doc_id") % 2 == 0, "class Last\n").otherwise("")))
@@ -216,7 +216,7 @@ fixture AS (
 ), answered AS (
   SELECT source, ord, prompt, CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN fenced || '\nor\n' || fenced ELSE fenced END AS response FROM fixture
 ), taken AS (
-  SELECT *, trim(prompt, ' \n\t\r') AS task, regexp_extract_all(response, '(?s){FENCE}([a-zA-Z0-9_+-]*)[ \\t]*\\n(.*?){FENCE}', 1) AS l, regexp_extract_all(response, '(?s){FENCE}([a-zA-Z0-9_+-]*)[ \\t]*\\n(.*?){FENCE}', 2) AS b FROM answered
+  SELECT *, trim(prompt, ' \n\t\r') AS task, regexp_extract_all(response, '{T.FENCED}', 1) AS l, regexp_extract_all(response, '{T.FENCED}', 2) AS b FROM answered
 ), measured AS (SELECT *, trim(b[1], '\n') AS code FROM taken
 ), gated AS (
   SELECT source, ord, prompt, response, task, code, CASE
