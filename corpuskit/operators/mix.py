@@ -17,26 +17,33 @@ def numbered(df: DataFrame, *order: Column | str, by: Sequence[str] = (), name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def ranked(df: DataFrame, order: str, name: str = "n", buckets: int = 256) -> DataFrame:
-    """df with global numbers from 0 in order, without one task that sorts everything.
+def ranked(df: DataFrame, order: str | Sequence[str], name: str = "n", by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """df with numbers from 0 in order, over all rows or in each group of `by`, without a task that sorts all of them.
 
-    Rows are put in buckets that follow the order, by prefix if it is a string (a digest's are even) and by approximate quantiles
-    otherwise; a row's number is that in its bucket on top of the rows of all buckets before. Any buckets give the same numbers.
+    Rows are put in buckets that follow the first column of the order, by prefix if it is a string (a digest's are even) and by approximate
+    quantiles otherwise; a row's number is that in its bucket on top of the rows of all buckets before. Any buckets give the same numbers.
     """
-    if isinstance(df.schema[order].dataType, StringType):
-        place = F.coalesce(F.substring(order, 1, 3), F.lit(""))
+    order = [order] if isinstance(order, str) else list(order)
+    if isinstance(df.schema[order[0]].dataType, StringType):
+        place = F.coalesce(F.substring(order[0], 1, 3), F.lit(""))
     else:
-        cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)])).first()[0] or []
+        cuts = df.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)])).first()[0] or []
         bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-        place = F.size(F.filter(bounds, lambda c: c <= F.col(order)))
+        place = F.size(F.filter(bounds, lambda c: c <= F.col(order[0])))
     spot = df.withColumn("__part", place)
-    counts = spot.groupBy("__part").agg(F.count("*").alias("__rows"))
-    before = counts.select("__part", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    joined = spot.join(F.broadcast(before), "__part")  # a row a bucket
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    counts = spot.groupBy(*by, "__part").agg(F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    joined = spot.join(before, [*by, "__part"]) if by else spot.join(F.broadcast(before), "__part")  # a row a bucket
+    within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
     return joined.withColumn(name, F.col("__before") + within - 1).drop("__part", "__before")
 
 
+def with_total(df: DataFrame, name: str = "__total") -> DataFrame:
+    """df with the number of its rows, joined as one row, so that the rows stay where they are."""
+    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
+
+
 def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first n rows in order."""
     return df.orderBy(*order).limit(n)
@@ -60,7 +67,7 @@ def interleave(docs: DataFrame, weights: DataFrame, total: int, seed: int = SEED
     """`total` rows of docs (source, ord, ...), sources in proportion to their weights; those that are too small are gone through again, each time as another epoch. n is the place in the mix."""
     counted = docs.groupBy("source").agg(F.count("*").alias("size"))
     wanted = targets(weights.join(counted, "source").select("source", "weight"), total).join(counted, "source")
-    rows = numbered(docs, "ord", by=["source"]).join(F.broadcast(wanted.select("source", "target", "size")), "source")  # a row a source
+    rows = ranked(docs, "ord", "rn", by=["source"]).withColumn("rn", F.col("rn") + 1).join(F.broadcast(wanted.select("source", "target", "size")), "source")  # a row a source
     copies = F.explode(F.sequence(F.lit(0), F.floor((F.col("target") - 1) / F.col("size")).cast("int")))
     out = rows.where("target > 0").select("*", copies.alias("epoch")).where("epoch * size + rn <= target")
     key = F.concat_ws("/", F.col("source"), F.col("epoch").cast("string"), F.col("rn").cast("string"))
@@ -89,8 +96,8 @@ def positional_split(df: DataFrame, tasks: int = 3_000, validation: int = 2_000,
 
 def head_split(df: DataFrame, order: str = "n", part: int = 20) -> DataFrame:
     """The first max(1, rows div part) rows are for validation."""
-    first = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) / part))
-    return df.withColumn("split", F.when(F.col(order) < first, "validation").otherwise("train"))
+    first = F.greatest(F.lit(1), F.floor(F.col("__total") / part))
+    return with_total(df).withColumn("split", F.when(F.col(order) < first, "validation").otherwise("train")).drop("__total")
 
 
 def samples_of(tasks: DataFrame, n: int) -> DataFrame:
@@ -98,15 +105,15 @@ def samples_of(tasks: DataFrame, n: int) -> DataFrame:
     return tasks.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
 
 
-def chunked(df: DataFrame, size: int, *order: Column | str) -> DataFrame:
-    return numbered(df, *order, name="__rn").withColumn("batch_id", F.floor((F.col("__rn") - 1) / size)).drop("__rn")
+def chunked(df: DataFrame, size: int, *order: str) -> DataFrame:
+    return ranked(df, order, "__n").withColumn("batch_id", F.floor(F.col("__n") / size)).drop("__n")
 
 
 def epoch_batches(df: DataFrame, batch: int, epoch: int = 0, key: str = "ord", seed: int = SEED) -> DataFrame:
     """df in the epoch's own random order, in batches of `batch` rows; a short last batch is dropped."""
     out = ranked(df.withColumn("__key", F.concat(T.shuffle_key(F.col(key), seed + epoch), F.col(key).cast("string"))), "__key", "__n").drop("__key")
-    out = out.withColumn("batch_id", F.floor(F.col("__n") / batch)).withColumn("place", (F.col("__n") % batch).cast("int"))
-    return out.withColumn("__all", F.count("*").over(Window.partitionBy("batch_id"))).where(F.col("__all") == batch).drop("__all", "__n")
+    out = with_total(out).where(F.col("__n") < F.floor(F.col("__total") / batch) * batch).drop("__total")
+    return out.withColumn("batch_id", F.floor(F.col("__n") / batch)).withColumn("place", (F.col("__n") % batch).cast("int")).drop("__n")
 
 
 def token_shares(sources: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def strided_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS ord, row_number() OVER (ORDER BY md5(doc_id || '|1738'), doc_id)::INTEGER AS place FROM documents")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.numbered(documents(spark, sf_dir).select("ord"), T.shuffle_key(F.col("ord")), "ord", name="place")
+    d = documents(spark, sf_dir).select("ord").withColumn("key", T.shuffle_key(F.col("ord")))
+    return mix.ranked(d, ["key", "ord"]).select("ord", (F.col("n") + 1).cast("int").alias("place"))
 
 
 @query("""SELECT doc_id AS ord, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || '|1738')) - 1 < 60 THEN 'tasks' WHEN row_number() OVER (ORDER BY md5(doc_id || '|1738')) - 1 < 100 THEN 'validation' ELSE 'train' END AS split FROM documents""")

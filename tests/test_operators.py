@@ -136,3 +136,17 @@ def test_sandbox_is_off_and_classifies(spark):
     for code, want in cases.items():
         assert sandbox.run_one(code, "assert x == 1", timeout=2)[0] == want, code
     assert sandbox.run_candidates(df, allow_untrusted_code=True).first().outcome == "PASS"
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 256])
+def test_ranked_numbers_are_those_of_a_sort(spark, buckets):
+    r = random.Random(buckets)
+    rows = [(i, r.choice("ab"), r.choice([0, 0, 0, 5, r.randrange(10**6), None]), f"{r.randrange(99):x}") for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, g string, k int, s string").repartition(4)
+    least = lambda k: -1 if k is None else k
+    for order, key in ((["k", "i"], lambda x: (least(x[2]), x[0])), (["s", "i"], lambda x: (x[3], x[0]))):
+        want = {x[0]: n for n, x in enumerate(sorted(rows, key=key))}
+        assert {x.i: x.n for x in mix.ranked(df, order, buckets=buckets).collect()} == want
+        own = {x[0]: n for g in "ab" for n, x in enumerate(sorted((x for x in rows if x[1] == g), key=key))}
+        assert {x.i: x.n for x in mix.ranked(df, order, by=["g"], buckets=buckets).collect()} == own
+    assert mix.ranked(df.limit(0), "k").count() == 0
