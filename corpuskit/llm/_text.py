@@ -72,15 +72,20 @@ def scan(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The hash of each word that scan() found."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = np.diff(starts, append=len(data))
-    data = data[starts[0] :]
-    at = np.arange(len(data), dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), lengths)
-    values = _BYTE[data]
-    values *= _POWER[at & 4095]
-    return mix(np.add.reduceat(values, starts - starts[0]))
+    """The hash of each word that scan() found. Bytes take many times their room in between, so it goes by pieces."""
+    parts = []
+    edges = np.append(starts, len(data))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + PIECE_CHARS, side="right")) - 1)
+        own, begin = edges[first : last + 1], edges[first]
+        piece = data[begin : own[-1]]
+        at = np.arange(len(piece), dtype=np.int32) - np.repeat((own[:-1] - begin).astype(np.int32), np.diff(own))
+        values = _BYTE[piece]
+        values *= _POWER[at & 4095]
+        parts.append(mix(np.add.reduceat(values, own[:-1] - begin)))
+        first = last
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -269,25 +269,27 @@ class _Part:
 
 def _seed_scores(f: Features, toxic: np.ndarray) -> np.ndarray:
     """Of each distinct word, the highest log odds of its 5-grams (of itself if it has none) between toxic and clean texts: which windows to begin with."""
-    text = np.repeat(np.arange(len(toxic)), np.diff(f.offsets))
     bucket, count, at = f.grams[1]
-    pair = np.unique(text * f.n + f.words)
-    text, word = pair // f.n, pair % f.n
-    long = count[word] > 0
-    feature = np.where(long, 0, GRAMS + f.word_bucket[word])
-    own = np.where(long, count[word], 1)
-    which = np.repeat(np.arange(len(word)), own)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own)
-    value = feature[which]
-    gram = long[which]
-    value[gram] = bucket[at[word[which[gram]]] + nth[gram]]
-    seen = np.unique(text[which] * (GRAMS + WORDS) + value)
-    of, value_of = seen // (GRAMS + WORDS), seen % (GRAMS + WORDS)
-    bad = np.bincount(value_of[toxic[of]], minlength=GRAMS + WORDS)
-    good = np.bincount(value_of[~toxic[of]], minlength=GRAMS + WORDS)
+
+    def features(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in word, feature) of all features of some distinct words."""
+        long = count[word] > 0
+        own = np.where(long, count[word], 1)
+        which = np.repeat(np.arange(len(word)), own)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own)
+        gram = long[which]
+        value = GRAMS + f.word_bucket[word[which]]
+        value[gram] = bucket[at[word[which[gram]]] + nth[gram]]
+        return which, value
+
+    bad, good = np.zeros(GRAMS + WORDS), np.zeros(GRAMS + WORDS)
+    for i, is_toxic in enumerate(toxic):  # text by text, as all together would take much room
+        seen = np.unique(features(np.unique(f.words[f.offsets[i] : f.offsets[i + 1]]))[1])
+        (bad if is_toxic else good)[seen] += 1
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
     best = np.full(f.n, -np.inf)
-    np.maximum.at(best, word[which], odds[value])
+    which, value = features(np.arange(f.n))
+    np.maximum.at(best, which, odds[value])
     return best
 
 
