@@ -59,6 +59,14 @@ def test_merges_are_those_of_naive_counting(counts, n):
     assert list(v.ranks) == naive_merges(counts, n, v)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=8), st.integers(1, 9), max_size=12), st.integers(0, 25))
+def test_indexed_merges_are_those_of_naive_counting(counts, n):
+    v = tk.Vocabulary()
+    tk._merge_indexed(v, [list(tk.byte_chars(w)) for w in counts], list(counts.values()), n)
+    assert list(v.ranks) == naive_merges(counts, n, v)
+
+
 def test_distributed_counts_are_pythons(spark):
     r = random.Random(0)
     texts = DOCS + ["".join(r.choice("aB1 \n\t'-_é ") for _ in range(300)) for _ in range(20)]
