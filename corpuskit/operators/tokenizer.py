@@ -319,8 +319,8 @@ def train(docs: DataFrame, size: int, words: Words = Words(), text_col: str = "t
         raise ValueError("no text to learn from")
     if n > MOST_WORDS:
         raise MemoryError(f"{n} distinct pre-tokens are more than the {MOST_WORDS} that the driver takes; train on fewer documents")
-    rows = counts.orderBy("token").toLocalIterator(prefetchPartitions=True)
-    return learn_merges(Vocabulary.new(words), {r["token"]: r["freq"] for r in rows}, size)
+    rows = counts.toPandas()  # in any order: ties go by the pieces themselves
+    return learn_merges(Vocabulary.new(words), dict(zip(rows["token"], rows["freq"].tolist(), strict=True)), size)
 
 
 # --- scopes
