@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm._spark import free_name
@@ -363,7 +363,9 @@ def fit_to_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     drawn = [marks.where(F.col("y") == y).orderBy(order, "id").limit(4 * train_docs[y]) for y in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
     both = texts.join(chosen, "id").dropna(subset=["text"]).groupBy("id", "y").agg(F.min("text").alias("text"))
-    rows = [x for y in (0, 1) for x in both.where(F.col("y") == y).orderBy(order, "id").limit(train_docs[y]).collect()]
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(order, "id"))
+    rows = both.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, train_docs[1]).otherwise(train_docs[0])).collect()
+    rows.sort(key=lambda x: (x["y"], x["rank"]))
     return fit([x["text"] for x in rows], [x["y"] > 0 for x in rows])
 
 
