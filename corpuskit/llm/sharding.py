@@ -79,13 +79,14 @@ def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE, probe
 
 def shard(docs: DataFrame, key: Column, text_col: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with shard, sort_key and n_bytes, one partition a shard, sorted by key within it. Without a number of shards, there are as many as shard_bytes asks for."""
+    held = free_name(docs, "held_key")
+    docs = docs.withColumn(held, F.coalesce(key.cast("bigint"), F.lit(LEAST)))
     for name in ("shard", "sort_key", "n_bytes"):
-        clash = [c for c in docs.columns if c.lower() == name]
-        for c in clash:
-            docs = docs.withColumnRenamed(c, free_name(docs, name))
-            text_col = free_name(docs.drop(text_col), name) if text_col == c else text_col
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
-    key = F.coalesce(key.cast("bigint"), F.lit(LEAST))
+        for c in [c for c in docs.columns if c.lower() == name]:
+            new = free_name(docs, name)
+            docs = docs.withColumnRenamed(c, new)
+            text_col = new if text_col == c else text_col
+    size, key = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint"), F.col(held)
     sized = cut(docs.select(key.alias("k"), size.alias("n")))
     if shards is None:
         shards = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_bytes))
@@ -95,5 +96,5 @@ def shard(docs: DataFrame, key: Column, text_col: str = "text", shards: int | No
     def place(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(found, keys.to_numpy(), side="right").astype(np.int32))
 
-    placed = docs.withColumn("sort_key", key).withColumn("n_bytes", size).withColumn("shard", place("sort_key"))
+    placed = docs.withColumnRenamed(held, "sort_key").withColumn("n_bytes", size).withColumn("shard", place("sort_key"))
     return placed.repartitionById(shards, "shard").sortWithinPartitions("sort_key")
