@@ -10,8 +10,11 @@ the band that the threshold allows, is at most (1 - threshold) x the longer one'
 A bucket's members are held against its least id first, then those still apart against each other. Passages that many
 documents share fill buckets with documents that aren't similar; a bucket of over LEAF members is
 therefore refined, as in an LSH forest, by each of the next SPAN sketches in turn, down to DEPTH sketches, and in
-every such bucket members of like length are held against the least id among them. So the work follows the
-number of documents, whatever they share, and large groups of copies are found by their least ids.
+every such bucket members of like length are held against the least id among them, so that large groups of copies are
+mostly found by their least ids. What is still apart in a bucket of over LEAF members is then compared pair by pair, in blocks
+ordered by length: only pairs of like length whose counts of words, in BINS bins, allow the distance are aligned, first each
+member with the nearest of every other group, then the rest. So every two documents that agree on a sketch are
+in one group or were compared; the counts are quadratic in the documents that share a sketch without being copies.
 
 Defined results: a null text is never a duplicate; texts without words are duplicates where they are equal; a
 text of fewer than k words is one k-mer; equal rows, or rows of one id, are copies of each other (the text of
@@ -34,6 +37,7 @@ from corpuskit.llm._text import mix, pieces, shingles, word_hashes
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 32, 0.75
 LEAF, SPAN, DEPTH = 64, 4, 4
+BLOCK, BINS = 512, 512
 
 _PLACE_BITS = 24
 _LOW = np.uint64((1 << _PLACE_BITS) - 1)
@@ -237,27 +241,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     made = _sketch_udf(k, ell, sketches)("text")
     sketched = texts.withColumn("s", made).select("id", F.coalesce("s.key", F.concat(F.lit("null"), F.col("id").cast("string"))).alias("key"), F.col("s.words").alias("words"), F.col("s.sketches").alias("sketches"))
     exact = cut(sketched.withColumn("rep", F.min("id").over(Window.partitionBy("key"))).drop("key"))
-    stars, leaves = _candidates(exact.where("id = rep and sketches is not null").select("id", "words", "sketches"), sketches, threshold)
+    sketched = exact.where("id = rep and sketches is not null").select("id", "words", "sketches")
+    stars, leaves, hot = _candidates(sketched, sketches, threshold)
     one = texts if _unique(texts) else texts.groupBy("id").agg(F.min("text").alias("text"))
     found = verified(stars, one, threshold)
     linked = components(found.unionByName(exact.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     rest = cut(_left_over(leaves, linked, threshold))
     if not rest.isEmpty():
         more = verified(rest, one, threshold)
-        linked = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+        linked = _joined(linked, more)
+    linked = _hot_linked(hot, linked, sketched, one, threshold)
     ids = exact.select("id").distinct()
     out = ids.join(linked, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))
     return out.withColumn("kept", F.col("group_id") == F.col(id_col))
 
 
+def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    return components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _unique(texts: DataFrame) -> bool:
     """Whether no id occurs twice; cheap, as only the ids are read."""
     n, distinct = texts.agg(F.count("*"), F.count_distinct("id")).first()
     return n == distinct
 
 
-def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) of least ids and the others in their buckets, buckets (m: array of (id, words)) of 2 to LEAF members)."""
+def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (a, b) of least ids and the others in their buckets, buckets (m: array of (id, words)) of 2 to LEAF members, members (i, h, id, words) of the larger buckets of one sketch)."""
     by = float(-np.log(threshold))
     level = docs.select("id", "words", F.posexplode("sketches").alias("i", "h"))
     stars, leaves = [], []
@@ -269,6 +279,7 @@ def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataF
         leaves.append(leaf)
         stars.append(leaf.select(F.col("m")[0]["id"].alias("a"), F.explode(F.transform("m", lambda x: x["id"])).alias("b")))
         hot = shared.where(F.col("n") > LEAF).select("i", F.xxhash64("i", "h").alias("h"), "id", "words")
+        hottest = hot if depth == 0 else hottest
         # Classes of length overlap by half, so that texts of like length have one in common.
         place = F.log("words") / by
         classed = hot.select("h", "id", F.explode(F.array(F.floor(place), F.floor(place + 0.5) + 1_000_000)).alias("c"))
@@ -280,7 +291,7 @@ def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataF
         more = more.select("id", "words", "h", "sketches", "i", further).withColumn("i", (F.col("i") + F.col("o")) % sketches)
         level = more.select("id", "words", "i", F.xxhash64("h", "o", F.get("sketches", F.col("i"))).alias("h"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return cut(union(stars).where("a <> b").distinct()), union(leaves)
+    return cut(union(stars).where("a <> b").distinct()), union(leaves), hottest
 
 
 def _left_over(leaves: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
@@ -293,6 +304,96 @@ def _left_over(leaves: DataFrame, linked: DataFrame, threshold: float) -> DataFr
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _bag_udf():
+    @F.pandas_udf("binary")
+    def bag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out: list = []
+            values = texts.tolist()
+            for piece in pieces(values):
+                words, offsets = word_hashes(values[piece])
+                place = (mix(words) % np.uint64(BINS)).astype(np.int64)
+                # Counts are cut at a byte, which makes no two bags more unlike than they are.
+                out += [np.minimum(np.bincount(place[a:b], minlength=BINS), 255).astype(np.uint8).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pd.Series(out)
+
+    return bag
+
+
+def _compared(threshold: float, nearest: bool):
+    """Pairs of two blocks of a bucket that are in different components, first agree on its sketch and can be similar; if `nearest`, those of least bound for each member and component."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["own"] == rows["p"]], rows[rows["own"] == rows["q"]]
+        root = pd.factorize(pd.concat([x["root"], y["root"]]))[0]
+        root_x, root_y = root[: len(x)], root[len(x) :]
+        words_x, words_y = x["words"].to_numpy(), y["words"].to_numpy()
+        longer = np.maximum(words_x[:, None], words_y)
+        able = (np.minimum(words_x[:, None], words_y) >= threshold * longer - 1e-9) & (root_x[:, None] != root_y)
+        at_x, at_y = np.nonzero(able)
+        if rows["p"].iat[0] == rows["q"].iat[0]:
+            at_x, at_y = at_x[at_x < at_y], at_y[at_x < at_y]
+        found: list = []
+        if len(at_x):
+            sketch_x, sketch_y = np.stack(x["sketches"].to_numpy()), np.stack(y["sketches"].to_numpy())
+            bag_x, bag_y = (np.frombuffer(b"".join(t["bag"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for t in (x, y))
+            sum_x, sum_y = bag_x.sum(axis=1, dtype=np.int64), bag_y.sum(axis=1, dtype=np.int64)
+            for begin in range(0, len(at_x), 8192):
+                i, j = at_x[begin : begin + 8192], at_y[begin : begin + 8192]
+                first = (sketch_x[i] == sketch_y[j]).argmax(axis=1) == rows["i"].iat[0]
+                i, j = i[first], j[first]
+                # Words of one that the other lacks have to be changed, added or taken away.
+                bound = (np.abs(bag_x[i] - bag_y[j]).sum(axis=1, dtype=np.int64) + np.abs(sum_x[i] - sum_y[j])) // 2
+                near = bound <= ((1 - threshold) * longer[i, j] + 1e-9).astype(np.int64)
+                found.append(np.stack([i[near], j[near], bound[near]]))
+        i, j, bound = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+        if nearest:
+            for side in (0, 1):
+                one, other = (i, root_y[j]) if side == 0 else (j, root_x[i])
+                order = np.lexsort((bound, other, one))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (np.diff(one[order]) != 0) | (np.diff(other[order]) != 0)
+                i, j, bound = i[order[new]], j[order[new]], bound[order[new]]
+        return pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j]})
+
+    return run
+
+
+def _between(members: DataFrame, threshold: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) to align of the members (i, h, id, words, root, sketches, bag) of buckets, by blocks of like length."""
+    order = Window.partitionBy("h").orderBy("words", "id")
+    placed = cut(members.withColumn("own", F.floor((F.row_number().over(order) - 1) / BLOCK)))
+    block = placed.groupBy("h", "own").agg(F.min("words").alias("low"), F.max("words").alias("high"))
+    p, q = block.select("h", F.col("own").alias("p"), "high"), block.select("h", F.col("own").alias("q"), "low")
+    both = p.join(q, "h").where("p <= q").where(F.col("high") >= threshold * F.col("low") - 1e-9).select("h", "p", "q")
+    sides = both.select("h", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("own"))
+    kind = members.schema["id"].dataType.simpleString()
+    pairs = placed.join(sides, ["h", "own"]).groupBy("h", "p", "q").applyInPandas(_compared(threshold, nearest), f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _hot_linked(hot: DataFrame, linked: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """linked, and what the members of large buckets that aren't in one component yet add to it."""
+    tried = made = None
+    for nearest in (True, False):
+        own = Window.partitionBy("h")
+        each = hot.join(linked, "id", "left").select("i", "h", "id", "words", F.coalesce("root", "id").alias("root"))
+        each = each.withColumn("least", F.min("root").over(own)).withColumn("most", F.max("root").over(own))
+        apart = cut(each.where("least <> most").drop("least", "most"))
+        if apart.isEmpty():
+            break
+        if made is None:
+            ids = maybe_broadcast(apart.select("id").distinct())
+            made = cut(texts.join(ids, "id", "left_semi").select("id", _bag_udf()("text").alias("bag")).join(docs.select("id", "sketches"), "id"))
+        pairs = _between(apart.join(made, "id"), threshold, nearest)
+        rest = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            break
+        linked = _joined(linked, verified(rest, texts, threshold))
+        tried = rest
+    return linked
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """docs with one row of each group: that of its least id (of several rows of this id, one). Rows of null id stay."""
     gone = groups(docs, id_col, text_col, **parameters).where("not kept").select(F.col(id_col).alias("id"))

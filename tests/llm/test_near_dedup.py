@@ -155,6 +155,30 @@ def test_hot_buckets_are_refined(spark, monkeypatch):
     assert len({got[i] for i in range(80, 120)}) == 1 and len(set(got.values())) == 61
 
 
+def test_copies_are_found_in_buckets_that_stay_hot(spark):
+    """Hundreds of documents are mostly a shared passage and some are edited copies of each other; beside them is a template family."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    edited = lambda words, by: [w if r.random() > by else word() for w in words]
+    passage = [word() for _ in range(90)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(50)]
+        texts += [" ".join(own[:25] + passage + own[25:]), " ".join(edited(own[:25], 0.3) + edited(passage, 0.1) + edited(own[25:], 0.3))]
+    template = [word() for _ in range(60)]
+    texts += [" ".join(edited(template, 0.1)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.group_id for x in nd.groups(df).collect()}
+    copies = [i for i in range(0, 300, 2) if nd.similar(texts[i], texts[i + 1])]
+    assert len(copies) > 50 and sum(got[i] == got[i + 1] for i in copies) >= 0.9 * len(copies)
+    # Both of every pair that agrees on a sketch are in one group, if they are similar.
+    sketches = nd.order_sketches(texts)[0]
+    for i in range(300):
+        for j in np.nonzero((sketches[:i] == sketches[i]).any(axis=1))[0].tolist():
+            assert got[i] == got[j] or not nd.similar(texts[i], texts[j])
+    assert sum(got[i] == got[300] for i in range(300, 1800)) >= 0.99 * 1500
+
+
 def test_recall_of_candidates_at_the_threshold():
     r = random.Random(8)
     vocabulary = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(3000)]
