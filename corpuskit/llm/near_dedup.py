@@ -268,7 +268,7 @@ def _unique(texts: DataFrame) -> bool:
 
 def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs (a, b) of least ids and the others in their buckets, buckets (m: array of (id, words)) of 2 to LEAF members, members (i, h, id, words) of the larger buckets of one sketch)."""
-    by = float(-np.log(threshold))
+    by = float(-2 * np.log(threshold)) * (1 + 1e-9)
     level = docs.select("id", "words", F.posexplode("sketches").alias("i", "h"))
     stars, leaves = [], []
     for depth in range(DEPTH):
@@ -280,7 +280,7 @@ def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataF
         stars.append(leaf.select(F.col("m")[0]["id"].alias("a"), F.explode(F.transform("m", lambda x: x["id"])).alias("b")))
         hot = shared.where(F.col("n") > LEAF).select("i", F.xxhash64("i", "h").alias("h"), "id", "words")
         hottest = hot if depth == 0 else hottest
-        # Classes of length overlap by half, so that texts of like length have one in common.
+        # Classes of length are twice as wide as the threshold allows and overlap by half, so that any two lengths within it have one in common.
         place = F.log("words") / by
         classed = hot.select("h", "id", F.explode(F.array(F.floor(place), F.floor(place + 0.5) + 1_000_000)).alias("c"))
         stars.append(classed.select(F.min("id").over(Window.partitionBy("h", "c")).alias("a"), F.col("id").alias("b")))

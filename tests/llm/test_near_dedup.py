@@ -179,6 +179,25 @@ def test_copies_are_found_in_buckets_that_stay_hot(spark):
     assert sum(got[i] == got[300] for i in range(300, 1800)) >= 0.99 * 1500
 
 
+def test_lengths_within_the_threshold_share_a_class(spark, monkeypatch):
+    """In a hot bucket, a truncated copy is held against the least id of the group."""
+    r = random.Random(6)
+    monkeypatch.setattr(nd, "LEAF", 2)
+    cases = [(100, 78), (100, 80), (1000, 800), (100, 75), (4, 3)] + [(n, -(-3 * n // 4)) for n in r.sample(range(5, 5000), 100)]
+    rows = [(3 * c + at, n, [c]) for c, (long, short) in enumerate(cases) for at, n in enumerate((long, long, short))]
+    stars = nd._candidates(spark.createDataFrame(rows, "id bigint, words bigint, sketches array<bigint>"), 1, 0.75)[0]
+    assert {tuple(x) for x in stars.collect()} == {(3 * c, 3 * c + at) for c in range(len(cases)) for at in (1, 2)}
+
+
+def test_truncated_copies_in_a_hot_group(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    base = [word() for _ in range(100)]
+    texts = [" ".join(w if r.random() > 0.01 else word() for w in base) for _ in range(150)] + [" ".join(base[:n]) for n in (78, 80, 85)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {x.group_id for x in nd.groups(df).collect()} == {0}
+
+
 def test_recall_of_candidates_at_the_threshold():
     r = random.Random(8)
     vocabulary = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(3000)]
