@@ -1,14 +1,14 @@
 """Personal data by information-theoretic sanitisation.
 
 Entities to protect are found by their form (addresses, numbers, keys) and generalised to their class. What else
-reveals one is learned from the corpus: for each entity, the terms within WINDOW words of its mentions are counted over
-distinct contexts, and each such term's occurrences over the whole corpus. With these, a term t discloses of
-entity c the share PMI(c; t) / IC(c) of its information content, which is 1 if t occurs with c alone. In documents that mention
-c, terms of a share of at least GENERALISE, seen with c in MIN_CONTEXTS distinct contexts or more, become <TERM>; those of at
+reveals one is learned from the corpus: for each entity, its mentions are counted, those of them that have a term within WINDOW
+words, and each such term's occurrences, all over the whole corpus. With these, a term t discloses of
+entity c the share PMI(c; t) / IC(c) of its information content, which is 1 if t occurs once in each of some mentions of c, and
+nowhere else, however often their rows repeat. In documents that mention c, terms of a share of at least GENERALISE, seen with c in MIN_CONTEXTS distinct contexts or more, become <TERM>; those of at
 least REMOVE go.
 
 A term is a maximal run of letters and digits, in lower case. Defined results: a null text stays null and has 0 of
-either; an empty one stays as it is; repeated rows are all sanitised alike, and their equal contexts count once; rows of one id that have entities share the terms that
+either; an empty one stays as it is; repeated rows are all sanitised alike, and their equal contexts are one of the MIN_CONTEXTS; rows of one id that have entities share the terms that
 these disclose; rows of null id have their entities generalised, but no terms; an entity or term of few contexts discloses nothing; documents
 without entities stay as they are; an empty table gives an empty one. Other columns keep their names and values.
 """
@@ -72,15 +72,18 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, found: DataFrame | None = None) -> DataFrame:
     """(entity, term, share) of the terms of the texts (id, text) that disclose at least the share `generalise` of an entity."""
-    seen = cut((mentions(docs) if found is None else found).select("entity", "context").distinct())
-    both = seen.select("entity", F.explode(F.array_distinct("context")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    each = seen.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_contexts)
-    both = cut(both.where(F.col("n_ct") >= min_contexts).join(each, "entity"))
+    # Distinct contexts say whether there are enough; the share counts all mentions, as a term's occurrences are counted in all rows.
+    seen = cut((mentions(docs) if found is None else found).groupBy("entity", "context").agg(F.count("*").alias("times")))
+    counted = lambda name: (F.sum("times").alias(name), F.count("*").alias("contexts"))
+    enough = F.col("contexts") >= min_contexts
+    both = seen.select("entity", "times", F.explode(F.array_distinct("context")).alias("term")).groupBy("entity", "term").agg(*counted("n_ct"))
+    each = seen.groupBy("entity").agg(*counted("n_c")).where(enough).drop("contexts")
+    both = cut(both.where(enough).drop("contexts").join(each, "entity"))
     if both.isEmpty():
         return both.select("entity", "term", F.lit(1.0).alias("share"))
     counts = cut(_counted(docs, both.select("term").distinct()))
     n = F.lit(float(counts.agg(F.sum("n_t")).first()[0]))
-    # Equal contexts count once, and one occurrence can be in the contexts of several mentions, so the share is held to 1.
+    # One occurrence can be in the contexts of several mentions, so the share is held to 1.
     pmi = F.log(F.least(F.col("n_ct"), F.col("n_t")) * n / (F.col("n_c") * F.col("n_t")))
     shared = both.join(counts, "term").select("entity", "term", F.least(pmi / F.log(n / F.col("n_c")), F.lit(1.0)).alias("share"))
     return shared.where(F.col("share") >= generalise)

@@ -80,6 +80,15 @@ def test_disclosing_terms_go_where_the_entity_is(spark):
     assert out[24].text == "<EMAIL> rare unseen words once"  # equal contexts count once
 
 
+def test_repeated_rows_do_not_hide_a_disclosing_term(spark):
+    texts = [f"{a} zorblatt {b} ann@x.example.com" for a, b in ("ab", "cd", "ef")] * 400 + [" ".join("abcdefghij"[(i + j) % 10] for j in range(20)) for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    share = {(r.entity, r.term): r.share for r in pii.disclosures(df.withColumnRenamed("doc_id", "id"), generalise=0.0).collect()}
+    assert abs(share["ann@x.example.com", "zorblatt"] - 1) < 1e-9
+    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert all("zorblatt" not in out[i].text and out[i].terms == 1 for i in range(1200))
+
+
 @pytest.mark.parametrize("least", [1, 3])
 def test_nulls_repeats_clashes_long_and_empty(spark, least):
     schema = "doc_id bigint, text string, n_chars bigint, pii_text string, id int, entity string, term string"
