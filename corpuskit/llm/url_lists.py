@@ -22,8 +22,6 @@ from corpuskit.llm._spark import free_name, maybe_broadcast
 
 _HOST = r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)"
 _PATH = r"^(?:[a-z][a-z0-9+.\-]*:)?//[^/?#]*/([^?#]*)"
-#: Segments of a path that a pattern can have.
-SEGMENTS = 3
 
 
 def host(url: Column) -> Column:
@@ -38,13 +36,13 @@ def pattern(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(bare, r"[./]+$", ""), r"\.(/|$)", "$1"), F.lit(""))
 
 
-def covering(url: Column) -> Column:
-    """All patterns that cover a URL: its host and parent domains, each alone and with one to SEGMENTS leading segments of the path."""
+def covering(url: Column, segments: int) -> Column:
+    """All patterns of up to so many segments that cover a URL: its host and parent domains, each alone and with leading segments of the path."""
     labels = F.split(host(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(F.regexp_extract(F.lower(F.trim(url)), _PATH, 1), "/"), lambda x: x != "")
     # Slicing by the number of segments there are would give none for an empty path, hence the filter.
-    lengths = F.filter(F.sequence(F.lit(0), F.lit(SEGMENTS)), lambda n: n <= F.size(parts))
+    lengths = F.filter(F.sequence(F.lit(0), F.lit(segments)), lambda n: n <= F.size(parts))
     tails = F.transform(lengths, lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))))
     return F.when(host(url).isNotNull(), F.flatten(F.transform(domains, lambda d: F.transform(tails, lambda t: F.concat(d, t)))))
 
@@ -63,10 +61,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """(id_col, host, blocked, list_name, pattern, valid_from, active) of each capture; active counts the entries active at its time."""
     spans = maybe_broadcast(intervals(entries)).withColumnRenamed("pattern", "p")
+    deepest = spans.agg(F.max(F.regexp_count("p", F.lit("/")))).first()[0] or 0
     # A number for each capture, as rows may repeat: all columns of a result row are functions of these three.
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp").alias("t"))
     asked = own.groupBy("id", "url", "t").agg(F.count("*").alias("times"))
-    tried = asked.select("*", F.explode_outer(covering("url")).alias("q"))
+    tried = asked.select("*", F.explode_outer(covering(F.col("url"), deepest)).alias("q"))
     active = (F.col("q") == F.col("p")) & (F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
     hit = F.struct((-F.length("p")).alias("short"), "p", "list_name", "valid_from")
     best = tried.join(spans, active, "left").groupBy("id", "url", "t", "times").agg(F.min(F.when(F.col("p").isNotNull(), hit)).alias("hit"), F.count("p").alias("active"))

@@ -44,6 +44,16 @@ def test_every_capture_is_held_against_what_was_active_then(spark):
     assert len(got) == len(rows) and {r.blocked for r in got.values()} == {True, False}
 
 
+def test_patterns_of_any_depth(spark):
+    log = [("l", "a.com/1/2/3/4", D(1), "add"), ("l", "b.org/" + "x/" * 40, D(1), "add"), ("l", "a.com/1/2/3/4/5/6", D(1), "add")]
+    urls = ["http://a.com/1/2/3/4", "http://www.a.com/1/2/3/4/5?q", "http://s.a.com/1/2/3/4/5/6/7", "http://a.com/1/2/3/40", "http://a.com/1/2/3", "http://b.org" + "/x" * 41, "http://b.org" + "/x" * 39, "http://b.org"]
+    df = spark.createDataFrame([(i, u, D(5)) for i, u in enumerate(urls)], "page_id bigint, url string, fetched_at timestamp")
+    got = {r.page_id: (r.blocked, r.active) for r in ul.evaluate(df, entries(spark, log)).collect()}
+    for i, u in enumerate(urls):
+        n = sum(covers(p.rstrip("/"), u) for _, p, _, _ in log)
+        assert got[i] == (n > 0, n), u
+
+
 def test_nulls_repeats_clashes_and_empty(spark):
     schema = "page_id bigint, url string, fetched_at timestamp, host string, q int, id int, blocked_id int"
     rows = [(1, None, D(5)), (2, "nonsense", D(5)), (3, "http://a.com", None), (4, "http://a.com", D(5)), (4, "http://a.com", D(5)), (None, "http://a.com/", D(5)), (5, "", D(5)), (6, "http://" + "b." * 3000 + "com/" + "p/" * 5000, D(5))]
