@@ -44,7 +44,7 @@ ENTITIES: dict[str, str] = {
     rf"|[0-9](?<![0-9A-Za-z.\-][0-9])[0-9]{{2}}([ .\-])[0-9]{{3}}\1[0-9]{{4}}{_END}",
 }
 #: Every entity has one of these, so most texts need no more than a look for them.
-_HINT = r"[0-9@=:]"
+_HINT = r"[0-9@=:]|A(?:[KS]IA|Iza)|eyJ|g(?:h[pousr]_|ithub_pat_|lpat-)|sk[\-_]|pk_live_|xox[abprs]-|-----BEGIN"
 _ANY = "|".join(f"(?:{p})" for p in ENTITIES.values()).replace(r"\1", "[ .\\-]")
 _BETWEEN = r"[^\p{L}\p{N}]+"
 _LEFT, _RIGHT = r"(?iu)(?<![\p{L}\p{N}<])(?:", r")(?![\p{L}\p{N}])"
