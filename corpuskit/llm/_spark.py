@@ -7,16 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast once they have been counted.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast if its rows and their bytes, both counted, are at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names. Only where none is named (tests), a local one is set."""
+    """The shared folder the session names. Only a local session that names none gets one of this machine; a cluster's is an error."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuskit-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="corpuskit-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -26,14 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; it counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether df has at most so many rows, of at most so many bytes as JSON; it counts no further than these rows."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (held or 0) <= size
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows it to be small; a shuffle join otherwise."""
-    return F.broadcast(df) if small(df, rows) else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is counted to be small; a shuffle join otherwise."""
+    return F.broadcast(df) if small(df) else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

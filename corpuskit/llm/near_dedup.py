@@ -7,25 +7,27 @@ similarity rather than the overlap of their sets. Pairs that agree on any sketch
 candidate stands if the edit distance of the two word sequences, by a bit-parallel alignment in
 the band that the threshold allows, is at most (1 - threshold) x the longer one's words.
 
-A bucket's members are held against its least id first, then those still apart against each other. Passages that many
-documents share fill buckets with documents that aren't similar; a bucket of over LEAF members is
-therefore refined, as in an LSH forest, by each of the next SPAN sketches in turn, down to DEPTH sketches, and in
-every such bucket members of like length are held against the least id among them, so that large groups of copies are
-mostly found by their least ids. What is still apart in a bucket of over LEAF members is then compared pair by pair, in blocks
-ordered by length: only pairs of like length whose counts of words, in BINS bins, allow the distance are aligned, first each
+Exact copies share a row from the start, so buckets and edges are of distinct texts. A bucket's members are held against its
+least id first, then those still apart against each other. Passages that many documents share fill buckets with
+documents that aren't similar; a bucket of over LEAF members is therefore refined, as in an LSH forest, by each of the next SPAN
+sketches in turn, down to DEPTH sketches, and in every such bucket members of like length are held against the least id
+among them, so that large groups of copies are mostly found by their least ids. What is still apart in a bucket of over LEAF members is
+then compared in blocks of BLOCK of like length: only pairs whose counts of words, in BINS bins, allow the distance are aligned, first each
 member with the nearest of every other group, then the rest. So every two documents that agree on a sketch are
 in one group or were compared; the counts are quadratic in the documents that share a sketch without being copies.
 
 Defined results: a null text is never a duplicate; texts without words are duplicates where they are equal; a
-text of fewer than k words is one k-mer; equal rows, or rows of one id, are copies of each other (the text of
-an id that has several is its least); rows of null id have no name for a pair, so they pass unchanged and ungrouped.
-An empty table gives an empty one. Only the id and text columns are read; others can have any name.
+text of fewer than k words is one k-mer; rows of one id are copies of each other, and the text of an id that has several is its
+least; rows of null id have no name for a pair, so they pass unchanged and ungrouped; very long texts are hashed and aligned whole;
+of texts that are equally similar none is preferred, as the group is all that are linked. An empty table gives an empty one. Only the
+id and text columns are read; others can have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ from corpuskit.llm._text import mix, pieces, shingles, word_hashes
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 32, 0.75
 LEAF, SPAN, DEPTH = 64, 4, 4
-BLOCK, BINS = 512, 512
+BLOCK, BINS = 1024, 512
 
 _PLACE_BITS = 24
 _LOW = np.uint64((1 << _PLACE_BITS) - 1)
@@ -184,7 +186,7 @@ def _sketch_udf(k: int, ell: int, sketches: int):
                         keys.append("%016x%016x" % tuple(two) + f"{len(own):x}")
                         rows.append(next(each))
                     else:
-                        keys.append(None if text is None else "-" + text)
+                        keys.append(None if text is None else "-" + md5(text.encode("utf-8", "surrogatepass")).hexdigest())
                         rows.append(None)
             yield pd.DataFrame({"key": keys, "words": counts, "sketches": rows})
 
@@ -217,17 +219,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, least id reachable) for all ids in the edges (a, b): large and small stars by turns until nothing changes."""
+    """(id, least id reachable) for all ids in the edges (a, b): large and small stars by turns until nothing changes. Neighbours are joined, never gathered."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs"))
-        near = near.select("u", F.least("u", "m").alias("m"), F.explode("vs").alias("v"))
-        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        star = near.select("m", F.explode(F.array_append("vs", F.col("u"))).alias("u")).where("u <> m")
-        edges = cut(star.select("u", F.col("m").alias("v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()
+        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(star.unionByName(near.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -236,24 +237,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, group_id, kept) for each id: group_id is the least id of its group, which alone is kept."""
+    """(id_col, group_id, kept, links) for each id: group_id is the least id of its group, which alone is kept; links counts its exact copies and the other texts that it was found similar to."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    if not _unique(texts):
+        texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))
     made = _sketch_udf(k, ell, sketches)("text")
-    sketched = texts.withColumn("s", made).select("id", F.coalesce("s.key", F.concat(F.lit("null"), F.col("id").cast("string"))).alias("key"), F.col("s.words").alias("words"), F.col("s.sketches").alias("sketches"))
-    exact = cut(sketched.withColumn("rep", F.min("id").over(Window.partitionBy("key"))).drop("key"))
-    sketched = exact.where("id = rep and sketches is not null").select("id", "words", "sketches")
+    key = F.coalesce("s.key", F.concat(F.lit("null"), F.col("id").cast("string")))
+    exact = cut(texts.withColumn("s", made).select("id", key.alias("key"), F.col("s.words").alias("words"), F.col("s.sketches").alias("sketches")))
+    # From here on a row a distinct text, under the least id that has it: exact copies are in no bucket and no edge.
+    distinct = exact.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("sketches").alias("sketches"))
+    distinct = cut(distinct)
+    sketched = distinct.where("sketches is not null").select("id", "words", "sketches")
     stars, leaves, hot = _candidates(sketched, sketches, threshold)
-    one = texts if _unique(texts) else texts.groupBy("id").agg(F.min("text").alias("text"))
-    found = verified(stars, one, threshold)
-    linked = components(found.unionByName(exact.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    edges = cut(verified(stars, texts, threshold))
+    linked = components(edges)
     rest = cut(_left_over(leaves, linked, threshold))
     if not rest.isEmpty():
-        more = verified(rest, one, threshold)
-        linked = _joined(linked, more)
-    linked = _hot_linked(hot, linked, sketched, one, threshold)
-    ids = exact.select("id").distinct()
-    out = ids.join(linked, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))
-    return out.withColumn("kept", F.col("group_id") == F.col(id_col))
+        more = cut(verified(rest, texts, threshold))
+        edges, linked = edges.unionByName(more), _joined(linked, more)
+    edges, linked = _hot_linked(hot, edges, linked, sketched, texts, threshold)
+    degree = edges.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    named = distinct.select("key", "id", "n").join(linked, "id", "left").join(degree, "id", "left")
+    named = named.select("key", F.coalesce("root", "id").alias("group_id"), (F.col("n") - 1 + F.coalesce("degree", F.lit(0))).alias("links"))
+    out = exact.select("id", "key").join(named, "key")
+    return out.select(F.col("id").alias(id_col), "group_id", (F.col("group_id") == F.col("id")).alias("kept"), "links")
 
 
 def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
@@ -267,23 +274,25 @@ def _unique(texts: DataFrame) -> bool:
 
 
 def _candidates(docs: DataFrame, sketches: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs (a, b) of least ids and the others in their buckets, buckets (m: array of (id, words)) of 2 to LEAF members, members (i, h, id, words) of the larger buckets of one sketch)."""
+    """(pairs (a, b) of least ids and the others in their buckets, buckets (m: array of (id, words)) of 2 to LEAF members, members (h, id, words) of the larger buckets of one sketch)."""
     by = float(-2 * np.log(threshold)) * (1 + 1e-9)
+    # A sketch's number is part of its value, so that h alone names the bucket.
     level = docs.select("id", "words", F.posexplode("sketches").alias("i", "h"))
     stars, leaves = [], []
     for depth in range(DEPTH):
-        # Sizes come first, by a window that can spill: only leaves are gathered into arrays.
-        sized = level.withColumn("n", F.count("*").over(Window.partitionBy("i", "h")))
-        shared = cut(sized.where("n > 1"))
-        leaf = shared.where(F.col("n") <= LEAF).groupBy("i", "h").agg(F.array_sort(F.collect_set(F.struct("id", "words"))).alias("m")).select("m")
+        # Sizes are counted with partial aggregates; only leaves are gathered into arrays.
+        sizes = level.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        shared = cut(level.join(sizes, "h"))
+        leaf = shared.where(F.col("n") <= LEAF).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("id", "words"))).alias("m")).select("m")
         leaves.append(leaf)
         stars.append(leaf.select(F.col("m")[0]["id"].alias("a"), F.explode(F.transform("m", lambda x: x["id"])).alias("b")))
-        hot = shared.where(F.col("n") > LEAF).select("i", F.xxhash64("i", "h").alias("h"), "id", "words")
-        hottest = hot if depth == 0 else hottest
+        hot = shared.where(F.col("n") > LEAF).select("i", "h", "id", "words")
+        hottest = hot.drop("i") if depth == 0 else hottest
         # Classes of length are twice as wide as the threshold allows and overlap by half, so that any two lengths within it have one in common.
         place = F.log("words") / by
         classed = hot.select("h", "id", F.explode(F.array(F.floor(place), F.floor(place + 0.5) + 1_000_000)).alias("c"))
-        stars.append(classed.select(F.min("id").over(Window.partitionBy("h", "c")).alias("a"), F.col("id").alias("b")))
+        firsts = classed.groupBy("h", "c").agg(F.min("id").alias("a"))
+        stars.append(classed.join(firsts, ["h", "c"]).select("a", F.col("id").alias("b")))
         if depth == DEPTH - 1 or hot.isEmpty():
             break
         more = hot.join(docs.select("id", "sketches"), "id")
@@ -340,7 +349,8 @@ def _compared(threshold: float, nearest: bool):
             sum_x, sum_y = bag_x.sum(axis=1, dtype=np.int64), bag_y.sum(axis=1, dtype=np.int64)
             for begin in range(0, len(at_x), 8192):
                 i, j = at_x[begin : begin + 8192], at_y[begin : begin + 8192]
-                first = (sketch_x[i] == sketch_y[j]).argmax(axis=1) == rows["i"].iat[0]
+                first = (sketch_x[i] == sketch_y[j]).argmax(axis=1)
+                first = sketch_x[i, first] == rows["h"].iat[0]
                 i, j = i[first], j[first]
                 # Words of one that the other lacks have to be changed, added or taken away.
                 bound = (np.abs(bag_x[i] - bag_y[j]).sum(axis=1, dtype=np.int64) + np.abs(sum_x[i] - sum_y[j])) // 2
@@ -360,26 +370,29 @@ def _compared(threshold: float, nearest: bool):
 
 
 def _between(members: DataFrame, threshold: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) to align of the members (i, h, id, words, root, sketches, bag) of buckets, by blocks of like length."""
-    order = Window.partitionBy("h").orderBy("words", "id")
-    placed = cut(members.withColumn("own", F.floor((F.row_number().over(order) - 1) / BLOCK)))
-    block = placed.groupBy("h", "own").agg(F.min("words").alias("low"), F.max("words").alias("high"))
-    p, q = block.select("h", F.col("own").alias("p"), "high"), block.select("h", F.col("own").alias("q"), "low")
-    both = p.join(q, "h").where("p <= q").where(F.col("high") >= threshold * F.col("low") - 1e-9).select("h", "p", "q")
+    """Pairs (a, b) to align of the members (h, id, words, root, sketches, bag) of buckets, by blocks of about BLOCK of one class of length, each held against those of its own class and the next."""
+    placed = members.withColumn("c", F.floor(F.log("words") / float(-np.log(threshold) * (1 + 1e-9))).cast("int"))
+    blocks = placed.groupBy("h", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cut(placed.join(blocks, ["h", "c"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks"))
+    each = blocks.select("h", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    p = each.select("h", F.struct("c", "own").alias("p"), F.explode(F.array("c", F.col("c") + 1)).alias("c"))
+    both = p.join(each.select("h", "c", F.struct("c", "own").alias("q")), ["h", "c"]).where("p <= q").select("h", "p", "q")
     sides = both.select("h", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("own"))
+    name = lambda x: F.concat_ws("/", F.col(f"{x}.c"), F.col(f"{x}.own"))
+    sides = sides.select("h", "own.c", "own.own", name("p").alias("p"), name("q").alias("q"))
     kind = members.schema["id"].dataType.simpleString()
-    pairs = placed.join(sides, ["h", "own"]).groupBy("h", "p", "q").applyInPandas(_compared(threshold, nearest), f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    placed = placed.join(sides, ["h", "c", "own"]).withColumn("own", F.concat_ws("/", "c", "own")).drop("c")
+    pairs = placed.groupBy("h", "p", "q").applyInPandas(_compared(threshold, nearest), f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hot_linked(hot: DataFrame, linked: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """linked, and what the members of large buckets that aren't in one component yet add to it."""
+def _hot_linked(hot: DataFrame, edges: DataFrame, linked: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """edges and linked, and what the members of large buckets that aren't in one component yet add to them."""
     tried = made = None
     for nearest in (True, False):
-        own = Window.partitionBy("h")
-        each = hot.join(linked, "id", "left").select("i", "h", "id", "words", F.coalesce("root", "id").alias("root"))
-        each = each.withColumn("least", F.min("root").over(own)).withColumn("most", F.max("root").over(own))
-        apart = cut(each.where("least <> most").drop("least", "most"))
+        each = hot.join(linked, "id", "left").select("h", "id", "words", F.coalesce("root", "id").alias("root"))
+        mixed = each.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("h")
+        apart = cut(each.join(mixed, "h"))
         if apart.isEmpty():
             break
         if made is None:
@@ -389,9 +402,10 @@ def _hot_linked(hot: DataFrame, linked: DataFrame, docs: DataFrame, texts: DataF
         rest = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if rest.isEmpty():
             break
-        linked = _joined(linked, verified(rest, texts, threshold))
+        more = cut(verified(rest, texts, threshold))
+        edges, linked = edges.unionByName(more), _joined(linked, more)
         tried = rest
-    return linked
+    return edges, linked
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

@@ -13,7 +13,7 @@ that parts its classes best. Scoring covers whole texts of all rows.
 
 Defined results: a null text or id isn't used to fit; a null text scores null and isn't toxic; a text
 without words has no window and scores 0; without labels of both classes every text scores 0; of several labels of one id the
-highest counts; a text of over PIECE_CHARS characters is scored in segments with windows across their cuts; repeated rows score alike; an empty table gives an empty one. Other columns can have any name.
+highest counts; a very long text is gone through in segments, with the very windows of the whole; repeated rows score alike; an empty table gives an empty one. Other columns can have any name.
 """
 
 from __future__ import annotations
@@ -156,16 +156,32 @@ class Network:
         """(score of each text in 0..1, its number of windows)."""
         score, count = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         for piece in pieces(texts):
-            if len(texts[piece.start] or "") > _text.PIECE_CHARS:
-                # One long text. Its segments' windows start anew, and others bridge the cuts.
-                parts = list(_text.segments(texts[piece.start]))
-                bridges = [" ".join(a[-20 * WINDOW :].split()[-WINDOW:] + b[: 20 * WINDOW].split()[:WINDOW]) for a, b in zip(parts, parts[1:], strict=False)]
-                own = [self._score_piece([t]) for t in parts + bridges]
-                score[piece], count[piece] = max(s[0] for s, _ in own), sum(n[0] for _, n in own)
-            else:
-                score[piece], count[piece] = self._score_piece(texts[piece])
+            own = [texts[piece.start]] if len(texts[piece.start] or "") > _text.PIECE_CHARS else texts[piece]
+            score[piece], count[piece] = self._score_long(own[0]) if len(own) == 1 else self._score_piece(own)
         return score, count
 
+    def _score_long(self, text: str | None) -> tuple[float, int]:
+        """The same windows as of the whole text, by its segments: each goes on from where the last window that it was sure of began."""
+        best, count, carried = 0.0, 0, ""
+        parts = _text.segments(text or "")
+        part = next(parts)
+        while True:
+            following = next(parts, None)
+            own = carried + part
+            if following is None:
+                score, n = self._score_piece([own])
+                return max(best, float(score[0])), count + int(n[0])
+            data, starts, _, offsets = scan([own])
+            sure = max((len(starts) - WINDOW) // STRIDE, 0)
+            if sure:
+                begin = int(starts[sure * STRIDE])
+                head = data[: int(starts[(sure - 1) * STRIDE + WINDOW])].tobytes().decode("utf-8", "replace")
+                score, n = self._score_piece([head])
+                best, count = max(best, float(score[0])), count + int(n[0])
+                # What scan() has is in lower case already; a second time changes nothing.
+                own = data[begin:-1].tobytes().decode("utf-8", "replace")
+            carried, part = own, following
+
     def _score_piece(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         score, count = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         f = Features(texts)

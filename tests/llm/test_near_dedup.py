@@ -220,4 +220,33 @@ def test_very_long_texts_hash_like_short_ones(monkeypatch):
     whole = word_hashes([text])[0]
     monkeypatch.setattr(_text, "PIECE_CHARS", 100)
     assert (word_hashes([text])[0] == whole).all() and word_hashes([text])[1].tolist() == [0, 1000]
-    assert len(word_hashes(["a" * 1000])[0]) == 5
+    for long in ("a" * 1000, "q " + "ab" * 2500 + " r", "漢" * 1000):
+        monkeypatch.setattr(_text, "PIECE_CHARS", 10**6)
+        whole = word_hashes([long])[0]
+        monkeypatch.setattr(_text, "PIECE_CHARS", 100)
+        assert (word_hashes([long])[0] == whole).all()
+    assert word_hashes(["a" * 4096 + "b" + "c" * 4095 + "d"])[0] != word_hashes(["a" * 4096 + "d" + "c" * 4095 + "b"])[0]
+
+
+def test_words_of_scripts_without_spaces():
+    from corpuskit.llm._text import scan
+
+    def words(text):
+        data, starts, ends, _ = scan([text])
+        return [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+
+    assert words("Hello wörld, 你好。世界abc「日本」！x") == ["hello", "wörld", "你", "好", "世", "界", "abc", "日", "本", "x"]
+    assert words("สวัส a 한국어 단어") == [*"สวัส", "a", "한국어", "단어"] and words("no\u3000way—ok") == ["no", "way—ok"]
+
+
+def test_unspaced_very_long_and_many_copies(spark):
+    """Texts of one long run, long texts, and one text that most rows have; links count copies and similar texts."""
+    r = random.Random(12)
+    run = [chr(0x4E00 + r.randrange(5000)) for _ in range(2000)]
+    long = [f"w{r.randrange(9000)}" for _ in range(150_000)]
+    texts = ["".join(run), "".join(run[:1000] + ["好"] + run[1001:]), " ".join(long), " ".join(long[:100] + long[5000:]), "x" * 2_500_000, "x" * 2_500_000 + "y"]
+    rows = [*enumerate(texts), *((i, "Nothing to see on this page") for i in range(100, 20_100)), (30_000, "Nothing to see on this page today")]
+    got = {x.doc_id: (x.group_id, x.kept, x.links) for x in nd.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == (0, True, 1) and got[1] == (0, False, 1) and got[2] == (2, True, 1) and got[3] == (2, False, 1)
+    assert got[4] == (4, True, 0) and got[5] == (5, True, 0)
+    assert got[100] == (100, True, 20_000) and all(got[i] == (100, False, 20_000) for i in range(101, 20_100)) and got[30_000] == (100, False, 1)

@@ -117,3 +117,48 @@ def test_very_long_texts_are_scored_whole(net, monkeypatch):
     for part in (1, 5, 9):
         at = sum(map(len, list(_text.segments(long))[:part]))
         assert (net.score_texts(["x", long[:at] + " zorgumen" + long[at:], "y"])[0] >= 0.5).tolist() == [False, True, False]
+
+
+def test_segments_have_the_windows_of_the_whole(monkeypatch):
+    from corpuskit.llm import _text
+
+    net = tx.Network(3)
+    net.p["word"] = np.random.default_rng(0).standard_normal(net.p["word"].shape).astype(np.float32)
+    words = " ".join(labelled(60, seed=3)[0]).split()
+    for n in (0, 1, 31, 32, 33, 48, 49, 64, 65, 200, len(words)):
+        text = " ".join(words[:n])
+        monkeypatch.setattr(_text, "PIECE_CHARS", 10**6)
+        score, count = net._score_piece([text])
+        for most in (50, 100, 333, 1000):
+            monkeypatch.setattr(_text, "PIECE_CHARS", most)
+            got = net.score_texts(["x", text])
+            assert got[1][1] == count[0] and abs(got[0][1] - score[0]) < 1e-6
+
+
+def plain_score(net, words):
+    """A window's log odds by loops, number by number."""
+    p, h = net.p, tx.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    states = np.zeros((len(words), 2 * h))
+    f = tx.Features([" ".join(words)])
+    inputs = f.embed(p["word"], p["gram"]).astype(float)[f.words]
+    for d, name in enumerate(("fwd", "bwd")):
+        s = np.zeros(h)
+        for t in range(len(words)) if d == 0 else reversed(range(len(words))):
+            gate = lambda g, t=t, d=d: [sum(inputs[t][i] * p["inp"][i][(2 * g + d) * h + j] for i in range(inputs.shape[1])) + p["bias"][(2 * g + d) * h + j] for j in range(h)]
+            back = lambda g, s=s, name=name: [sum(s[i] * p[name][i][g * h + j] for i in range(h)) for j in range(h)]
+            z, r = sigmoid(np.add(gate(0), back(0))), sigmoid(np.add(gate(1), back(1)))
+            s = (1 - z) * np.tanh(np.add(gate(2), r * np.array(back(2)))) + z * s
+            states[t, d * h : (d + 1) * h] = s
+    e = np.array([np.tanh(x @ p["att"].astype(float)) @ p["att_v"] for x in states])
+    weight = np.exp(e) / np.exp(e).sum()
+    return sum(w * (x @ p["out"]) for w, x in zip(weight, states, strict=True)) + p["out_b"][0]
+
+
+def test_scores_are_those_of_a_plain_forward_pass(net):
+    texts = labelled(8, seed=6)[0]
+    for text in texts:
+        words = text.split()
+        starts = [*range(0, max(len(words) - tx.WINDOW, 0), tx.STRIDE), max(len(words) - tx.WINDOW, 0)]
+        best = max(plain_score(net, words[a : a + tx.WINDOW]) for a in starts)
+        assert abs(net.score_texts([text])[0][0] - 1 / (1 + np.exp(net.cut - best))) < 1e-4
