@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
 Vectors are hashed into shards of about SHARD. In each, a graph is built over its distinct vectors: a greedy beam
-search from the medoid proposes neighbours of each vector, and relaxed pruning keeps those to which no kept
+search from the medoid and some random nodes proposes neighbours of each vector, and relaxed pruning keeps those to which no kept
 neighbour is nearer, by the factor ALPHA, than the vector itself, so that edges stay few and lead in different directions.
-Every row is a query: a beam search queries each shard's graph, and the nearest of all shards are merged. Searches
-run many queries in step, so that a step is a few numpy operations.
+All rows are indexed; the queries are all rows, or those given. A shard's queries stream past its graph, many in step, so that a step
+is a few numpy operations: beam search queries each shard, and the nearest of all shards are merged.
 
-Distance is Euclidean. Defined results: rows of null id, or whose vector is null, of another length than most, or not finite are left out; equal vectors are one
-node, that stands for all their ids; rows of one id take its least vector; ties go to the least id; an id is never its own neighbour; with fewer than
-k others all are given; an empty table gives an empty one. Only the id and vector columns are read; ids are whole numbers.
+Distance is Euclidean. Defined results: rows of null id, or whose vector is null, empty or not finite are left out; vectors are
+held against those of their own length alone, each length having its shards; equal vectors are one node, that stands for all their ids; rows
+of one id take its least vector; ties go to the least id; an id is never its own neighbour; with fewer than
+k others all are given; an empty table gives an empty one. Only the id and vector columns are read; ids are of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm._spark import cut
+from corpuskit.llm._spark import cut, maybe_broadcast
 
 NEIGHBOURS, SHARD = 10, 8192
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 64, 64, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA, ENTRIES = 32, 64, 128, 1.2, 16
+#: The query set of op3: ids divisible by this.
+EVERY = 50
 #: Nodes of a beam that are expanded in one step.
 _WIDE = 4
 
@@ -107,7 +110,7 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
         some = r.integers(0, n - 1, (n, min(degree // 2, n - 1))).astype(np.int32)
         graph[:, : some.shape[1]] = some + (some >= np.arange(n)[:, None])
     centre = vectors.mean(axis=0)
-    entry = np.array([int(np.argmin(norms - 2 * vectors @ centre))])
+    entry = np.unique(np.append(r.integers(0, n, min(ENTRIES, n) - 1), int(np.argmin(norms - 2 * vectors @ centre))))
     for by in (1.0, alpha):
         order = r.permutation(n)
         for begin in range(0, n, batch):
@@ -149,28 +152,17 @@ def _add_reverse(vectors: np.ndarray, norms: np.ndarray, graph: np.ndarray, poin
         graph[own] = robust_prune(vectors, own, wide, _distances(vectors, norms, vectors[own], wide).astype(np.float32), degree, alpha)
 
 
-def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("id")
-    vectors = np.stack(rows["v"].to_numpy()).astype(np.float32)
-    distinct, node = np.unique(vectors, axis=0, return_inverse=True)
-    graph, entry = build_graph(distinct)
-    out = {"shard": key[0], "ids": rows["id"].to_numpy(np.int64).tobytes(), "nodes": node.astype(np.int32).tobytes(), "vectors": distinct.tobytes(), "graph": graph.tobytes(), "entry": entry.astype(np.int64).tobytes(), "dims": distinct.shape[1]}
-    return pd.DataFrame([out])
-
-
-def search_shard(index: dict, ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM, batch: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, distance): of each query, the k nearest ids of a shard other than its own, as far as the beam finds them."""
-    vectors = np.frombuffer(index["vectors"], dtype=np.float32).reshape(-1, index["dims"])
-    graph = np.frombuffer(index["graph"], dtype=np.int32).reshape(len(vectors), -1)
+def search_shard(index: dict, asked: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM, batch: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the neighbour, distance): of each query, the k nearest of a shard's members other than itself, as far as the beam finds them. asked: each query's place among the members, or -1."""
+    vectors, graph, node = index["vectors"], index["graph"], index["nodes"]
     norms = np.einsum("nd,nd->n", vectors, vectors)
-    members, node = np.frombuffer(index["ids"], dtype=np.int64), np.frombuffer(index["nodes"], dtype=np.int32)
-    by_node = np.argsort(node, kind="stable")  # ids are in order, so each node's are
+    by_node = np.argsort(node, kind="stable")  # members are in order of id, so each node's are
     first = np.searchsorted(node[by_node], np.arange(len(vectors) + 1))
     held = np.diff(first)
-    asked, near, far = [], [], []
-    for begin in range(0, len(ids), batch):
-        own, q = ids[begin : begin + batch], queries[begin : begin + batch]
-        found, _ = beam_search(vectors, norms, graph, np.frombuffer(index["entry"], dtype=np.int64), q, max(beam, k + 1))
+    rows, near, far = [], [], []
+    for begin in range(0, len(queries), batch):
+        own, q = asked[begin : begin + batch], queries[begin : begin + batch]
+        found, _ = beam_search(vectors, norms, graph, index["entry"], q, max(beam, k + 1))
         found = found[:, : k + 1]  # one of them can be the query itself
         row, col = np.nonzero(found >= 0)
         nodes = found[row, col]
@@ -178,46 +170,73 @@ def search_shard(index: dict, ids: np.ndarray, queries: np.ndarray, k: int, beam
         times = np.minimum(held[nodes], k + 1)
         row, nodes = np.repeat(row, times), np.repeat(nodes, times)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        who = members[by_node[first[nodes] + nth]]
+        who = by_node[first[nodes] + nth]
         d = np.sqrt(((vectors[nodes].astype(np.float64) - q[row]) ** 2).sum(axis=1))
         other = who != own[row]
         row, who, d = row[other], who[other], d[other]
         order = np.lexsort((who, d, row))
         row, who, d = row[order], who[order], d[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        top = rank < k
-        asked.append(own[row[top]])
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        rows.append(row[top] + begin)
         near.append(who[top])
         far.append(d[top])
-    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (asked, near, far))
+    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, near, far))
+
+
+def _indexed(members: list, vectors: np.ndarray) -> dict:
+    """A shard's graph; members are its ids in order."""
+    distinct, node = np.unique(vectors, axis=0, return_inverse=True)
+    graph, entry = build_graph(distinct)
+    return {"members": members, "vectors": distinct, "nodes": node.reshape(-1), "graph": graph, "entry": entry, "place": {m: i for i, m in enumerate(members)}}
+
 
+def _searched(k: int):
+    """A partition is a shard: rows (asks, id, v) of its members in order of id, then of its queries. The graph is built once and the queries go past it batch by batch."""
 
-def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
-            for p in pairs.itertuples(index=False):
-                own = np.frombuffer(p.q_vectors, dtype=np.float32).reshape(-1, p.dims)[np.frombuffer(p.q_nodes, dtype=np.int32)]
-                index = {"vectors": p.vectors, "graph": p.graph, "ids": p.ids, "nodes": p.nodes, "entry": p.entry, "dims": p.dims}
-                q, n, d = search_shard(index, np.frombuffer(p.q_ids, dtype=np.int64), own, k)
-                yield pd.DataFrame({"q": q, "n": n, "d": d})
+        members, index = [], None
+        for batch in batches:
+            own, asks = batch[~batch["asks"]], batch[batch["asks"]]
+            if len(own):
+                members.append(own)
+            if not len(asks):
+                continue
+            if index is None:
+                held = pd.concat(members)
+                index, members = _indexed(held["id"].tolist(), np.stack(held["v"].to_numpy()).astype(np.float32)), []
+            ids = asks["id"].tolist()
+            place = np.array([index["place"].get(i, -1) for i in ids])
+            row, near, far = search_shard(index, place, np.stack(asks["v"].to_numpy()).astype(np.float32), k)
+            kind = asks["id"].dtype
+            yield pd.DataFrame({"q": pd.Series([ids[i] for i in row], dtype=kind), "n": pd.Series([index["members"][i] for i in near], dtype=kind), "d": far})
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id_col, rank, neighbour, distance): the k nearest other ids of each id, rank 1 first."""
-    own = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
+def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v, dims) of rows that have an id and a finite vector, one an id."""
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
     # forall() of a null element is null, so such vectors go too.
     own = own.where(F.forall("v", lambda x: (~F.isnan(x)) & (F.abs(x) < float("inf")))).groupBy("id").agg(F.min("v").alias("v"))
-    own = cut(own)
-    sizes = own.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    dims, n = sizes if sizes else (0, 0)
-    shards = max(1, -(-n // shard))
-    placed = own.where(F.size("v") == dims).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards).cast("bigint")))
-    index = cut(placed.groupBy("shard").applyInPandas(_build, "shard bigint, ids binary, nodes binary, vectors binary, graph binary, entry binary, dims int"))
-    asked = index.select(F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("nodes").alias("q_nodes"), F.col("vectors").alias("q_vectors"))
-    # Each pair of shards is a task of its own; a few pairs at most share an Arrow batch, as their rows are megabytes.
-    pairs = index.crossJoin(asked).repartition(min(shards * shards, 4096), "shard", "q_shard")
-    found = pairs.mapInPandas(_search(k), "q bigint, n bigint, d double")
+    return own.withColumn("dims", F.size("v"))
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEIGHBOURS, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id_col, rank, neighbour, distance): the k nearest other ids of each query, rank 1 first. queries has the columns of vectors; without it, all rows are queries."""
+    own = cut(_usable(vectors, id_col, vector_col))
+    asked = own if queries is None else cut(_usable(queries, id_col, vector_col))
+    lengths = own.groupBy("dims").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    earlier = Window.orderBy("dims").rowsBetween(Window.unboundedPreceding, -1)  # a row a length
+    lengths = cut(lengths.withColumn("base", F.coalesce(F.sum("shards").over(earlier), F.lit(0)).cast("int")))
+    total = lengths.agg(F.sum("shards")).first()[0] or 1
+    lengths = maybe_broadcast(lengths)
+    place = F.col("base") + F.pmod(F.xxhash64("id"), F.col("shards").cast("bigint")).cast("int")
+    members = own.join(lengths, "dims").select(place.alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    # Every query goes to every shard of its length, as the method has it.
+    asks = asked.join(lengths, "dims").select(F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    rows = members.unionByName(asks).repartitionById(total, "shard").sortWithinPartitions("asks", "id")
+    kind = own.schema["id"].dataType.simpleString()
+    found = rows.mapInPandas(_searched(k), f"q {kind}, n {kind}, d double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(id_col), "rank", F.col("n").alias("neighbour"), F.col("d").alias("distance"))
+    nearest = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return nearest.select(F.col("q").alias(id_col), "rank", F.col("n").alias("neighbour"), F.col("d").alias("distance"))

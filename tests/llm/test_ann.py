@@ -41,6 +41,8 @@ def test_recall_against_brute_force(spark):
     got, want = collect(ann.neighbours(df, shard=600)), exact(np.arange(1500), vectors, 10)
     assert got.keys() == want.keys() and all(len(g) == 10 for g in got.values())
     assert recall(got, want) >= 0.95
+    some = collect(ann.neighbours(df, df.where("vec_id % 50 = 0"), shard=600))
+    assert some == {i: got[i] for i in range(0, 1500, 50)}
     for i in range(0, 1500, 97):
         assert all(abs(d - np.sqrt(((vectors[i].astype(float) - vectors[j]) ** 2).sum())) < 1e-5 for j, d in got[i])
 
@@ -59,5 +61,9 @@ def test_ties_copies_and_few_rows(spark):
 def test_nulls_odd_vectors_repeats_and_empty(spark):
     rows = [(1, [1.0, 2.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0]), (3, None), (None, [1.0, 2.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, []), (8, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    assert collect(ann.neighbours(df)) == {1: [(2, 1.0)], 2: [(1, 1.0)]}
+    rows += [(9, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert collect(ann.neighbours(df)) == {1: [(2, 1.0)], 2: [(1, 1.0)], 4: [(9, 2.0)], 9: [(4, 2.0)]}
+    named = df.selectExpr("'id ' || vec_id AS vec_id", "embedding")
+    assert collect(ann.neighbours(named)) == {f"id {a}": [(f"id {b}", d)] for a, b, d in ((1, 2, 1.0), (2, 1, 1.0), (4, 9, 2.0), (9, 4, 2.0))}
     assert ann.neighbours(df.limit(0)).count() == 0
