@@ -7,7 +7,8 @@ numbers are read for that, from a checkpointed copy; the documents move once, st
 
 Defined results: equal keys are never parted, so a shard may exceed its share by one key's bytes; a null key sorts first
 (below all others); a null text has 0 bytes; if all keys are equal there is one shard that isn't empty; repeated rows stay;
-an empty table gives an empty one. All columns are kept beside shard, sort_key and n_bytes; a column of one of these names gets
+rows of one key are in no order among themselves; a text counts with all its bytes, however many, and an empty one with none; an
+empty table gives an empty one. All columns are kept beside shard, sort_key and n_bytes; a column of one of these names gets
 an underscore at its end.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm._spark import cut, free_name
 
-SHARD_BYTES, TOLERANCE, PROBES = 32 << 20, 0.01, 32
+SHARD_BYTES, TOLERANCE, PROBES, MOST_PROBES = 32 << 20, 0.01, 32, 1 << 22
 #: Keys are above this; a null key takes it.
 LEAST = -(2**63)
 
@@ -51,30 +52,40 @@ def bytes_below(sized: DataFrame, probes: np.ndarray) -> np.ndarray:
     return np.cumsum(total)[:-1]
 
 
-def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> np.ndarray:
-    """shards - 1 keys; the shard of a key is the number of splitters that are at most the key. sized has (k bigint, n bigint)."""
+def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES, most: int = MOST_PROBES) -> np.ndarray:
+    """shards - 1 keys; the shard of a key is the number of splitters that are at most the key. sized has (k bigint, n bigint). A round tries `most` keys at most, of each boundary's interval one at least."""
     first, last, total = sized.agg(F.min("k"), F.max("k"), F.sum("n")).first()
     if shards < 2 or first is None:
         return np.zeros(0, dtype=np.int64)
-    target = [total * j // shards for j in range(1, shards)]
+    target = np.array([total * j // shards for j in range(1, shards)] if total > 2**62 // shards else total * np.arange(1, shards, dtype=np.int64) // shards, dtype=np.int64)
     slack = tolerance * total / shards
-    # Bytes below lo are at most the target, those below hi at least; the answer is in between.
-    lo, hi = [first] * len(target), [last + 1] * len(target)
-    below_lo, below_hi = [0] * len(target), [total] * len(target)
-
-    def open_(j: int) -> bool:
-        return min(target[j] - below_lo[j], below_hi[j] - target[j]) > slack and hi[j] - lo[j] > 1
-
-    while left := [j for j in range(len(target)) if open_(j)]:
-        tried = np.array(sorted({lo[j] + (hi[j] - lo[j]) * i // (probes + 1) for j in left for i in range(1, probes + 1)} | {lo[j] + 1 for j in left}), dtype=np.int64)
-        below = bytes_below(sized, tried)
-        for j in left:
-            at = int(np.searchsorted(below, target[j], side="right"))
-            if at and tried[at - 1] > lo[j]:
-                lo[j], below_lo[j] = int(tried[at - 1]), int(below[at - 1])
-            if at < len(tried) and tried[at] < hi[j]:
-                hi[j], below_hi[j] = int(tried[at]), int(below[at])
-    return np.array([lo[j] if target[j] - below_lo[j] <= below_hi[j] - target[j] else hi[j] for j in range(len(target))], dtype=np.int64)
+    # Bytes below lo are at most the target, those below hi at least; the answer is in between. Keys are counted from the first one, as unsigned numbers, so that no width overflows.
+    base = np.uint64(first & (2**64 - 1))
+    signed = lambda x: (x + base).view(np.int64)
+    lo, hi = np.zeros(len(target), dtype=np.uint64), np.full(len(target), min(last + 1 - first, 2**64 - 1), dtype=np.uint64)
+    below_lo, below_hi = np.zeros(len(target), dtype=np.int64), np.full(len(target), total, dtype=np.int64)
+    while True:
+        left = np.flatnonzero((np.minimum(target - below_lo, below_hi - target) > slack) & (hi - lo > 1))
+        if not len(left):
+            break
+        # Boundaries that share an interval share its probes.
+        edges, count = np.unique(np.stack([lo[left], hi[left]], axis=1), axis=0, return_counts=True)
+        width = edges[:, 1] - edges[:, 0]
+        each = np.minimum(np.maximum(1, (min(probes, max(1, most // len(left))) * count)).astype(np.uint64), width - np.uint64(1))
+        at = np.repeat(np.arange(len(edges)), each.astype(np.int64))
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(each.astype(np.int64)) - each.astype(np.int64), each.astype(np.int64)) + 1
+        step, over = width // (each + np.uint64(1)), width % (each + np.uint64(1))
+        u = nth.astype(np.uint64)
+        tried = np.unique(np.concatenate([edges[at, 0] + step[at] * u + over[at] * u // (each[at] + np.uint64(1)), edges[:, 0] + np.uint64(1)]))
+        below = bytes_below(sized, signed(tried))
+        spot = np.searchsorted(below, target[left], side="right")
+        low = np.maximum(spot - 1, 0)
+        rise = (spot > 0) & (tried[low] > lo[left])
+        lo[left[rise]], below_lo[left[rise]] = tried[low[rise]], below[low[rise]]
+        high = np.minimum(spot, len(tried) - 1)
+        fall = (spot < len(tried)) & (tried[high] < hi[left])
+        hi[left[fall]], below_hi[left[fall]] = tried[high[fall]], below[high[fall]]
+    return signed(np.where(target - below_lo <= below_hi - target, lo, hi))
 
 
 def shard(docs: DataFrame, key: Column, text_col: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE) -> DataFrame:

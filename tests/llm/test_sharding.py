@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +53,28 @@ def test_number_of_shards_follows_bytes_and_empty_tables(spark):
     assert sharding.shard(docs.limit(0), F.col("doc_id")).count() == 0
     named = docs.withColumnRenamed("text", "n_bytes")
     assert sharding.shard(named, F.col("doc_id"), text_col="n_bytes", shards=2).agg(F.sum("n_bytes")).first()[0] == 10_000
+
+
+@pytest.mark.parametrize("low,high", [(-(2**63), 2**63 - 2), (5, 6), (-3, 4)])
+def test_keys_of_the_whole_range(spark, low, high):
+    r = np.random.default_rng(3)
+    keys = np.append(r.integers(low, high, 3000), [low, high])
+    sized = spark.createDataFrame([(int(k), 1) for k in keys], "k bigint, n bigint")
+    found = sharding.splitters(sized, 5, 0.0)
+    for j, s in enumerate(found, 1):
+        want = np.abs(np.array([(keys < c).sum() for c in np.append(np.unique(keys), high + 1)]) - len(keys) * j // 5).min()
+        assert abs((keys < s).sum() - len(keys) * j // 5) == want
+
+
+def test_a_million_boundaries(spark, monkeypatch):
+    """Many boundaries cost arrays, not Python numbers; the counts are made here, as the driver's part is what is measured."""
+    keys = np.sort(np.random.default_rng(5).integers(0, 2**60, 3_000_000))
+    monkeypatch.setattr(sharding, "bytes_below", lambda _, probes: np.searchsorted(keys, probes).astype(np.int64))
+    sized = spark.createDataFrame([(int(keys[0]), len(keys)), (int(keys[-1]), 0)], "k bigint, n bigint")
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = sharding.splitters(sized, 1_000_000, 1.0)
+    took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 999_999 and (np.abs(np.searchsorted(keys, found) - 3 * np.arange(1, 1_000_000)) <= 3).all()
+    assert took < 60 and most < 500e6
