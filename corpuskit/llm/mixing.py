@@ -4,13 +4,13 @@ Each source gets a share of the token budget by its weight (by default, its toke
 source can't use goes to the others. The share sets the inclusion probability of the source's documents. The flight
 phase moves these probabilities, three documents at a time, along the null space of two constraints, the number
 of tokens and of documents selected, at random but true to each probability, until each is 0 or 1. It runs
-in buckets of a source side by side, then over what those leave undecided in each source, then over what all
+in buckets of a source side by side, then over what those leave undecided in each source, then, in buckets again, over what all
 sources leave; the last few documents are landed by the coupling of least expected imbalance. So the totals of all
 sources, and of each one, miss their targets by no more than a few documents.
 
 Draws depend on ids and the seed alone, not on partitions. Defined results: rows of one id stand or fall together, as
 one unit of all their tokens, in their least source; null ids are one unit; a null source is a source; a null or empty text has
-0 tokens, and is balanced as a document; a source without tokens has the budget's fraction for probability; a source with no
+0 tokens, and is balanced as a document; a very long one is a unit as any other; units of equal hashes go in order of tokens; a source without tokens has the budget's fraction for probability; a source with no
 or non-positive weight is left out; an empty table gives an empty one. Only the id, source and text columns are read.
 """
 
@@ -27,26 +27,27 @@ from pyspark.sql import functions as F
 from corpuskit.llm._spark import cut, free_name, maybe_broadcast
 
 FRACTION, ALPHA, SEED, UNITS = 0.7, 0.5, 1, 8192
-_NULL = "\0null"
 _EPS = 1e-9
 
 
-def probabilities(tokens: dict[str, int], weights: dict[str, float], budget: float, otherwise: float) -> dict[str, float]:
-    """The inclusion probability of each source: its share of the budget by weight over its tokens, at most 1; what is over goes to the rest."""
-    share: dict[str, float] = {}
-    open_ = {s: w for s, w in weights.items() if w > 0 and tokens.get(s, 0) > 0}
-    left = budget
-    while open_:
-        by = left / sum(open_.values())
-        full = [s for s, w in open_.items() if w * by >= tokens[s]]
-        if not full:
-            share |= {s: w * by / tokens[s] for s, w in open_.items()}
+def probabilities(totals: DataFrame, budget: float, otherwise: float) -> DataFrame:
+    """totals (s, tokens, weight) with pi, the inclusion probability of each source: its share of the budget by weight over its tokens, at most 1; what is over goes to the rest.
+
+    With `by` tokens for each unit of weight, sources of fewer tokens than their share are taken whole, which leaves more for a unit of the others, until none is added.
+    """
+    open_ = (F.col("weight") > 0) & (F.col("tokens") > 0)
+    by, before = 0.0, None
+    while before != by:
+        whole = open_ & (F.col("weight") * F.lit(by) >= F.col("tokens"))
+        # Weights are added as decimals, so that no order of adding gives another sum.
+        weight = F.sum(F.when(open_ & ~whole, F.col("weight").cast("decimal(38,12)"))).cast("double")
+        full, rest = totals.agg(F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)).cast("double"), weight).first()
+        if not rest:
+            by, before = math.inf, math.inf
             break
-        for s in full:
-            share[s] = 1.0
-            left -= tokens[s]
-            del open_[s]
-    return {s: min(1.0, max(0.0, share.get(s, 0.0 if weights.get(s, 0) <= 0 else otherwise))) for s in tokens}
+        before, by = by, max(by, (budget - full) / rest)
+    share = F.least(F.lit(1.0), F.col("weight") * F.lit(by) / F.col("tokens")) if math.isfinite(by) else F.lit(1.0)
+    return totals.withColumn("pi", F.when(open_, share).when(F.col("weight") > 0, F.lit(float(otherwise))).otherwise(0.0))
 
 
 def flight(pi: np.ndarray, tokens: np.ndarray, seed: int) -> np.ndarray:
@@ -119,36 +120,48 @@ def _fly(seed: int, level: int, last: bool = False):
     return run
 
 
-def sample(docs: DataFrame, weights: dict[str, float] | None = None, fraction: float = FRACTION, alpha: float = ALPHA, seed: int = SEED, units: int = UNITS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, weights: dict[str | None, float] | None = None, fraction: float = FRACTION, alpha: float = ALPHA, seed: int = SEED, units: int = UNITS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id_col, source, tokens, pi, selected) of each unit; a budget of `fraction` of all tokens is shared out."""
+    spark = docs.sparkSession
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("s"), count.alias("tokens"))
+    # Within, a source has a sign before its name, so that null is none of the names.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("s"), count.alias("tokens"))
     unit = cut(rows.groupBy("id").agg(F.min("s").alias("s"), F.sum("tokens").alias("tokens")).withColumn("o", F.xxhash64(F.col("id").cast("string"), F.lit(seed))))
-    totals = unit.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()  # a row a source
-    tokens = {r["s"]: r["tokens"] for r in totals}
-    weight = {s: max(t, 1) ** alpha for s, t in tokens.items()} if weights is None else {_NULL if s is None else s: w for s, w in weights.items()}
-    pi = probabilities(tokens, weight, fraction * sum(tokens.values()), fraction)
-    of = docs.sparkSession.createDataFrame([(r["s"], pi[r["s"]], -(-r["n"] // units)) for r in totals], "s string, pi double, buckets bigint")
+    totals = unit.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    if weights is None:
+        totals = totals.withColumn("weight", F.pow(F.greatest("tokens", F.lit(1)).cast("double"), F.lit(float(alpha))))
+    else:
+        given = spark.createDataFrame([("" if s is None else "=" + s, float(w)) for s, w in weights.items()], "s string, weight double")
+        totals = totals.join(F.broadcast(given), "s", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))  # the caller's own rows
+    totals = cut(totals.withColumn("buckets", F.ceil(F.col("n") / units).cast("bigint")))
+    tokens, most = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("buckets"), F.lit(1))).first()
+    of = cut(probabilities(totals, fraction * tokens, fraction).select("s", "pi", "buckets"))
     start = unit.join(maybe_broadcast(of), "s").select("id", "s", "o", "tokens", "pi", F.col("pi").alias("p"), F.pmod(F.xxhash64("o"), "buckets").alias("bucket"))
     schema = start.schema
     decided, open_, level = [], start.where((F.col("p") > 0) & (F.col("p") < 1)), 0
     decided.append(start.where((F.col("p") <= 0) | (F.col("p") >= 1)))
-    most = max([-(-r["n"] // units) for r in totals], default=1)
+    across = False
     while True:
-        flown = cut(open_.groupBy("s", "bucket").applyInPandas(_fly(seed, level), schema))
+        by = [F.lit("").alias("s_"), "bucket"] if across else ["s", "bucket"]
+        flown = cut(open_.groupBy(*by).applyInPandas(_fly(seed, level), schema))
         decided.append(flown.where("p = 0 or p = 1"))
         open_ = flown.where("p > 0 and p < 1")
-        if most == 1:
-            break
-        most = -(-3 * most // units)  # at most two of a bucket are left
-        open_ = open_.withColumn("bucket", F.pmod(F.xxhash64("o", F.lit(level)), F.lit(most).cast("bigint")))
         level += 1
-    # What the sources leave, at most two units of each, is flown and landed together.
+        if across or most == 1:
+            # Each source has left at most two units; these fly in buckets across sources, until few are left in all.
+            across, left = True, open_.count()
+            if left <= units:
+                break
+            most = -(-left // units)
+        else:
+            most = -(-3 * most // units)  # at most two of a bucket are left
+        open_ = open_.withColumn("bucket", F.pmod(F.xxhash64("o", F.lit(level)), F.lit(most).cast("bigint")))
+    # The last ones of all are flown and landed together.
     decided.append(open_.groupBy(F.lit(0).alias("all")).applyInPandas(_fly(seed, level + 1, last=True), schema))
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
-    source = F.when(F.col("s") != _NULL, F.col("s"))
+    source = F.when(F.col("s") != "", F.substring("s", 2, 2**31 - 1))
     return out.select(F.col("id").alias(id_col), source.alias("source"), "tokens", "pi", (F.col("p") > 0.5).alias("selected"))
 
 
