@@ -3,11 +3,12 @@
 A document of more tokens than a sequence holds fills sequences with its first pieces; its last piece is packed like a
 short document. Pieces are hashed into blocks of about ITEMS, and each block is packed on ISLANDS of their own populations. A
 packing's genes are its bins. Crossover injects whole, well-filled bins of one parent into the other, removes the bins there that
-hold a document twice, and puts their displaced documents where they fit best; mutation dissolves some of the emptiest bins. After each
-epoch the islands of a block, which run as separate tasks, send their best packing to the next island. The best of all is kept.
+hold a document twice, puts displaced documents in place of smaller ones where they fill a bin better, and the rest where they fit best; mutation dissolves some of the emptiest bins. After each
+epoch the islands of a block, which run as separate tasks, send their best packing to the next island. The best of all is kept. A block whose bins
+can't be fewer is done.
 
 Tokens are counted as runs of non-space characters. Defined results: a text without tokens, or null, is in no bin (bin is null);
-repeated rows are packed each; equal sizes are taken in order of id; an empty table gives an empty one. Only the id and text columns are read.
+repeated rows are packed each; equal sizes are taken in order of id; a very long text is counted whole; an empty table gives an empty one. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm._spark import cut
 
-CAPACITY, ITEMS, ISLANDS, EPOCHS = 2048, 4096, 2, 3
-POPULATION, OFFSPRING, WELL_FILLED = 6, 10, 0.98
+CAPACITY, ITEMS, ISLANDS, EPOCHS, MOST_TASKS = 2048, 4096, 2, 4, 20_000
+POPULATION, OFFSPRING, WELL_FILLED = 6, 16, 0.98
 
 
 def best_fit(sizes: list[int], items: list[int], bins: np.ndarray, room: dict[int, int], capacity: int) -> None:
@@ -85,10 +86,47 @@ def _repaired(sizes: np.ndarray, child: np.ndarray, displaced: np.ndarray, capac
     child[displaced] = -1
     room = _rooms(sizes, child, capacity)
     items = np.flatnonzero(displaced)
-    best_fit(sizes.tolist(), items[np.argsort(-sizes[items], kind="stable")].tolist(), child, room, capacity)
+    order = _swapped(sizes.tolist(), items[np.argsort(-sizes[items], kind="stable")].tolist(), child, room)
+    best_fit(sizes.tolist(), order, child, room, capacity)
     return _closed(child)
 
 
+def _swapped(sizes: list[int], items: list[int], bins: np.ndarray, room: dict[int, int]) -> list[int]:
+    """The displaced items (largest first), after some went into bins with room in place of smaller ones, which are displaced instead: one for one, each as large as fits, or two for one."""
+    free = sorted((sizes[i], i) for i in items)
+    held: dict[int, list[int]] = {}
+    open_ = {b for b, r in room.items() if r > 0}
+    for i in np.flatnonzero(np.isin(bins, list(open_))).tolist():
+        held.setdefault(int(bins[i]), []).append(i)
+    for b in sorted(held, key=lambda b: (room[b], b)):
+        for i in sorted(held[b], key=lambda i: (sizes[i], i)):
+            if not room[b] or not free:
+                break
+            most = sizes[i] + room[b]
+            at = bisect_left(free, (most + 1, -1)) - 1
+            if at < 0:
+                continue
+            one, pair = free[at], None
+            if one[0] < most and len(free) > 1:  # two that fill it wholly
+                low, high = 0, at
+                while low < high:
+                    both = free[low][0] + free[high][0]
+                    if both == most:
+                        pair = (free[low], free[high])
+                        break
+                    low, high = (low + 1, high) if both < most else (low, high - 1)
+            taken = list(pair) if pair else [one] if one[0] > sizes[i] else []
+            if not taken:
+                continue
+            for x in taken:
+                free.pop(bisect_left(free, x))
+                bins[x[1]] = b
+            bins[i] = -1
+            insort(free, (sizes[i], i))
+            room[b] = most - sum(x[0] for x in taken)
+    return [i for _, i in sorted(free, key=lambda x: (-x[0], x[1]))]
+
+
 def first_packings(sizes: np.ndarray, capacity: int, r: np.random.Generator, n: int) -> list[np.ndarray]:
     """Best-fit decreasing, then best fit in orders that are more and more loosely so."""
     out = []
@@ -100,10 +138,21 @@ def first_packings(sizes: np.ndarray, capacity: int, r: np.random.Generator, n:
     return out
 
 
+def fewest(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: what all sizes ask for, or those of over half or over a third of the capacity."""
+    half, third = (sizes * 2 > capacity).sum(), ((sizes * 3 > capacity) & (sizes * 2 <= capacity)).sum()
+    wide = sizes[sizes * 2 > capacity]
+    beside = int((wide * 3 < 2 * capacity).sum())  # these may have room for one of over a third
+    return max(-(-int(sizes.sum()) // capacity), int(half + max(0, -(-(int(third) - beside) // 2))))
+
+
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, r: np.random.Generator, offspring: int = OFFSPRING) -> list[np.ndarray]:
-    """The population after some offspring, best first; each replaces the worst if it is better."""
+    """The population after some offspring, best first; each replaces the worst if it is better. A packing that can't be bettered ends it."""
     ranked = sorted(((fitness(sizes, p, capacity), i, p) for i, p in enumerate(population)), key=lambda x: (-x[0], x[1]))
+    least = fewest(sizes, capacity)
     for step in range(offspring):
+        if not len(sizes) or ranked[0][2].max() + 1 <= least:
+            break
         i, j = sorted(r.choice(len(ranked), 2, replace=len(ranked) < 2))
         child = crossover(sizes, ranked[i][2], ranked[j][2], capacity, r)
         if step % 3 == 2:
@@ -147,11 +196,13 @@ def _best(capacity: int):
 def pack(docs: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, piece, first_token, tokens, block, bin): which tokens of a document are in which sequence; (block, bin) names it."""
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0))
-    sized = cut(docs.select(F.col(id_col).alias("id"), count.cast("int").alias("n")))
-    pieces = sized.where("n > 0").select("id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    # Rows of one id and length are counted and then told apart by number, so that no id's rows are all in one block.
+    sized = docs.select(F.col(id_col).alias("id"), count.cast("int").alias("n")).groupBy("id", "n").agg(F.count("*").alias("times"))
+    sized = cut(sized.select("id", "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")))
+    pieces = sized.where("n > 0").select("id", "n", "copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity))
     blocks = max(1, -(-pieces.count() // items))
-    block = F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", F.lit(seed)), F.lit(blocks).cast("bigint"))
+    block = F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", "copy", F.lit(seed)), F.lit(blocks).cast("bigint"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "id", "piece")))
     held = cut(pieces.groupBy(block.alias("block")).agg(ordered.alias("m")).withColumn("full", F.size(F.filter("m", lambda x: x["neg"] == -capacity))))
     to_bytes = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, dtype=np.int32).tobytes()), "binary")
@@ -159,7 +210,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, islands:
     each = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
     state = held.where("size(m) > full").select("block", each, F.lit(False).alias("migrant"), to_bytes(rest).alias("sizes"), F.lit(None).cast("binary").alias("packings"))
     for epoch in range(epochs):
-        state = state.groupBy("block", "island").applyInPandas(_island(capacity, islands, epoch, seed), "block bigint, island int, migrant boolean, sizes binary, packings binary")
+        # So many partitions that each island has a task of its own; left to itself, Spark would put these small rows in one.
+        state = state.repartition(min(blocks * islands, MOST_TASKS), "block", "island").groupBy("block", "island").applyInPandas(_island(capacity, islands, epoch, seed), "block bigint, island int, migrant boolean, sizes binary, packings binary")
     chosen = state.groupBy("block").applyInPandas(_best(capacity), "block bigint, bins array<int>")
     placed = held.join(chosen, "block", "left").select("block", "full", "bins", F.posexplode("m").alias("i", "x"))
     # Full pieces come first in m; each is a sequence by itself, numbered below 0.

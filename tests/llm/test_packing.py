@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
@@ -82,3 +82,63 @@ def test_pack_is_the_same_whatever_the_partitions_and_empty(spark):
     assert packing.pack(df.limit(0)).count() == 0
     clash = df.selectExpr("*", "1 AS n", "2 AS id", "3 AS piece", "4 AS bin")
     assert packing.pack(clash, capacity=50).count() == 200
+
+
+def fewest_by_search(sizes, capacity):
+    """The least number of bins of any packing, by trying all."""
+    sizes = sorted(sizes, reverse=True)
+    best = [len(sizes)]
+
+    def place(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(room)
+            return
+        for r in sorted(set(room)):
+            if r >= sizes[i]:
+                left = room.copy()
+                left[left.index(r)] -= sizes[i]
+                place(i + 1, left)
+        place(i + 1, [*room, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_packings_are_optimal():
+    met = 0
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        sizes = r.integers(8, 60, 11)
+        population = packing.first_packings(sizes, 100, r, packing.POPULATION)
+        for _ in range(packing.EPOCHS):
+            population = packing.evolve(sizes, population, 100, r)
+        want = fewest_by_search(sizes.tolist(), 100)
+        got = int(population[0].max()) + 1
+        assert valid(sizes, population[0], 100) and packing.fewest(sizes, 100) <= want <= got <= want + 1
+        met += got == want
+    assert met >= 29
+
+
+def test_hard_sizes_take_fewer_bins_than_best_fit(spark):
+    """Documents that fill sequences by threes alone, as three of a sequence's parts do."""
+    r = np.random.default_rng(7)
+    a = r.integers(780, 1000, 300)
+    b = r.integers(512, (2048 - a) // 2)
+    sizes = np.concatenate([a, b, 2048 - a - b])
+    df = spark.createDataFrame([(i, "w " * int(n)) for i, n in enumerate(sizes)], "doc_id bigint, text string")
+    out = packing.pack(df).collect()
+    used = defaultdict(int)
+    for x in out:
+        used[x.block, x.bin] += x.tokens
+    plain = len(set(brute_best_fit(sorted(sizes.tolist(), reverse=True), 2048)))
+    assert max(used.values()) <= 2048 and sum(used.values()) == sizes.sum()
+    assert len(used) <= 0.92 * plain and len(used) >= 300
+
+
+def test_rows_of_one_id_are_spread_over_blocks(spark):
+    df = spark.createDataFrame([(None, "a b c")] * 3000, "doc_id bigint, text string")
+    out = packing.pack(df, capacity=9, items=100).collect()
+    assert len(out) == 3000 and max(Counter(x.block for x in out).values()) < 200
+    assert max(Counter((x.block, x.bin) for x in out).values()) == 3
