@@ -37,6 +37,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("sketch", F.array_join("sketch", ",")).withColumn("containment", F.round("containment", 9)).withColumn("shared", F.col("shared").cast("bigint"))
 
 
+def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.containers(table(spark, sf_dir, "documents"), F.col("id") % fingerprints.EVERY == 0)
+    return found.withColumns({c: F.round(c, 9) for c in ("containment", "contained")})
+
+
 def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = url_lists.evaluate(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann": op3_ann,
     "op4_token_blocks": op4_token_blocks,
     "op5_fingerprints": op5_fingerprints,
+    "op5_containment": op5_containment,
     "op6_url_lists": op6_url_lists,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
@@ -74,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_fingerprints": fingerprints.IN_CORPUS_SQL,
+    "op5_containment": fingerprints.CONTAINERS_SQL,
     "op6_url_lists": url_lists.EVALUATE_SQL,
 }

@@ -40,3 +40,32 @@ def test_repeats_null_ids_and_empty(spark):
     got = {x.doc_id: x for x in fp.in_corpus(df, fraction=1.0).collect()}
     assert got[1].n_shingles == 5 and len(got[1].sketch) == 3 and got[1].shared == 2 and got[None].shared == 2 and got[None].n_shingles == 3
     assert fp.in_corpus(df.limit(0)).count() == 0
+
+
+def test_containers_are_those_of_brute_force(spark):
+    """A passage that most documents have, some of which consist of it, beside parts of long documents and copies."""
+    r = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(40))
+    long = [f"w{r.randrange(900)}" for _ in range(3000)]
+    texts = [" ".join(long), " ".join(long[100:180]), " ".join(long[100:180] + long[900:960]), passage, passage, f"{passage} more", "", None, "one"]
+    texts += [passage + " " + " ".join(f"u{i}x{j}" for j in range(r.choice([10, 60, 90]))) for i in range(60)] + ["two words"] * 5
+    df = spark.createDataFrame([*((i, t, 1) for i, t in enumerate(texts)), (None, passage, 1)], "doc_id bigint, text string, c int")
+    sets = {i: frozenset(brute(t, 5, 1.0)) for i, t in enumerate(texts)}
+    for every in (1, 3):
+        want = set()
+        for q, a in sets.items():
+            for b in set(sets.values()) if a and q % every == 0 else ():
+                same = sorted(i for i, x in sets.items() if x == b)
+                copies = len(same) - (a == b)
+                if b and copies and max(len(a & b) / len(a), len(a & b) / len(b)) >= 0.5:
+                    want.add((q, same[0], copies, len(a & b), round(len(a & b) / len(a), 9), round(len(a & b) / len(b), 9)))
+        got = {(x.doc_id, x.match, x.copies, x.shared, round(x.containment, 9), round(x.contained, 9)) for x in fp.containers(df, F.col("id") % every == 0, fraction=1.0).collect()}
+        assert got == want and any(x[4] < 0.1 and x[5] == 1 for x in want)
+    assert fp.containers(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_a_very_long_text_is_sketched_whole(spark):
+    words = [f"w{i * 7919 % 60_000}" for i in range(200_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[-300:]))], "doc_id bigint, text string")
+    got = {x.doc_id: x.sketch for x in fp.sketches(df).collect()}
+    assert got[1] == brute(" ".join(words), 5, fp.FRACTION) and set(got[2]) <= set(got[1])
