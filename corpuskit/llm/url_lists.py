@@ -6,9 +6,9 @@ entries that were active when it was fetched. A pattern is a host name, which co
 host and the beginning of a path ("example.com/ads"), in whole segments. A capture's URL is expanded to all patterns
 that could cover it, so the join is on equality of patterns, with the time compared in each match.
 
-Defined results: patterns and hosts are compared in lower case, without scheme, user, port, "www." or final dot; of several entries of
+Defined results: patterns and hosts are compared in lower case, without scheme, user, port, "www." or final dot; very long paths are expanded as deep as the list's deepest pattern; of several entries of
 one pattern and instant "remove" counts; repeated entries, and an "add" of what is listed, change nothing; a null or blank pattern,
-null date or unknown action is no entry; a null or hostless URL, or a null fetch time, matches nothing and is not blocked; repeated
+null date or unknown action is no entry; a URL may lack its scheme if it begins with a host name; the host of a numeric address has no parents; a null or hostless URL, or a null fetch time, matches nothing and is not blocked; repeated
 captures are each answered; empty tables give empty results, or no block. Of several active entries the longest pattern is
 named, then the least list name. Other columns of the captures are not read.
 """
@@ -20,31 +20,49 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm._spark import free_name, maybe_broadcast
 
-_HOST = r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)"
+_HOST = r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(?:www\.)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+?)\.?(?::[0-9]*)?(?:[/?#]|$)"
 _PATH = r"^(?:[a-z][a-z0-9+.\-]*:)?//[^/?#]*/([^?#]*)"
 
 
+#: What begins with a name of several labels, though no scheme is before it.
+_BARE = r"^[a-z0-9_\-]+(?:\.[a-z0-9_\-]+)*\.[a-z]{2,}\.?(?::[0-9]+)?(?:[/?#]|$)"
+
+
+def _full(url: Column) -> Column:
+    """The URL in lower case, with // before a bare host name."""
+    u = F.lower(F.trim(url))
+    return F.when(u.rlike(_BARE), F.concat(F.lit("//"), u)).otherwise(u)
+
+
 def host(url: Column) -> Column:
     """The host of a URL; null if it has none, or one of over 253 characters, which no name can have."""
-    found = F.regexp_extract(F.lower(F.trim(url)), _HOST, 1)
+    found = F.regexp_extract(_full(url), _HOST, 1)
     return F.when(F.length(found).between(1, 253), found)
 
 
+def _segments(url: Column) -> Column:
+    return F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda x: x != "")
+
+
 def pattern(text: Column) -> Column:
-    """A list entry in the form in which it is compared."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:www\.)?", "")
-    return F.nullif(F.regexp_replace(F.regexp_replace(bare, r"[./]+$", ""), r"\.(/|$)", "$1"), F.lit(""))
+    """A list entry in the form in which it is compared: host and segments of the path."""
+    u = F.lower(F.trim(text))
+    u = F.when(u.rlike(r"^(?:[a-z][a-z0-9+.\-]*:)?//"), u).otherwise(F.concat(F.lit("//"), u))
+    name = F.regexp_extract(u, _HOST, 1)
+    return F.when(F.length(name).between(1, 253), F.concat_ws("/", F.array(name), _segments(u)))
 
 
 def covering(url: Column, segments: int) -> Column:
-    """All patterns of up to so many segments that cover a URL: its host and parent domains, each alone and with leading segments of the path."""
-    labels = F.split(host(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.split(F.regexp_extract(F.lower(F.trim(url)), _PATH, 1), "/"), lambda x: x != "")
+    """All patterns of up to so many segments that cover a URL: its host and parent domains, each alone and with leading segments of the path. An address has no parents."""
+    name = host(url)
+    labels = F.split(name, r"\.")
+    upper = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.when(name.rlike(r"^(?:\[.*\]|[0-9.]+)$"), F.array(name)).otherwise(upper)
+    parts = _segments(_full(url))
     # Slicing by the number of segments there are would give none for an empty path, hence the filter.
     lengths = F.filter(F.sequence(F.lit(0), F.lit(segments)), lambda n: n <= F.size(parts))
     tails = F.transform(lengths, lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))))
-    return F.when(host(url).isNotNull(), F.flatten(F.transform(domains, lambda d: F.transform(tails, lambda t: F.concat(d, t)))))
+    return F.when(name.isNotNull(), F.flatten(F.transform(domains, lambda d: F.transform(tails, lambda t: F.concat(d, t)))))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -102,14 +120,18 @@ def derived_entries(pages: DataFrame) -> DataFrame:
         row("spam", h, F.col("a"), "add"), row("spam", h, F.col("a") + F.col("b"), "remove"), row("spam", h, F.col("a") + 2 * F.col("b") + 1, "add"),
         row("spam", h, F.col("a"), "add"), row("adult", parent, F.col("b"), "add"), row("phish", F.concat(F.lit("WWW."), h, F.lit(".")), F.col("a") - 30, "remove"),
     )
-    return d.where("k < 3").select(F.explode(rows).alias("r")).select("r.*")
+    # Of some pages, the page itself.
+    own = pages.select(host(F.col("url")).alias("h"), F.slice(_segments(_full(F.col("url"))), 1, 6).alias("p"), F.md5(F.col("url").cast("binary")).alias("m"))
+    own = own.where("h is not null and size(p) > 0").where(number(1, 2) % 8 == 0)
+    own = own.select(row("page", F.concat_ws("/", F.array("h"), "p"), number(3, 2) % 300, "add").alias("r")).select("r.*").distinct()
+    return d.where("k < 3").select(F.explode(rows).alias("r")).select("r.*").unionByName(own)
 
 
 EVALUATE_SQL = r"""
 WITH own AS (
-  SELECT page_id, lower(trim(url)) AS u, make_timestamp((1704067200 + (page_id * 7919) % 31536000) * 1000000) AS t FROM pages
+  SELECT page_id, url, CASE WHEN regexp_matches(lower(trim(url)), '^[a-z0-9_\-]+(?:\.[a-z0-9_\-]+)*\.[a-z]{2,}\.?(?::[0-9]+)?(?:[/?#]|$)') THEN '//' ELSE '' END || lower(trim(url)) AS u, make_timestamp((1704067200 + (page_id * 7919) % 31536000) * 1000000) AS t FROM pages
 ), parsed AS (
-  SELECT *, nullif(regexp_extract(u, '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1), '') AS host,
+  SELECT *, nullif(regexp_extract(u, '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(?:www\.)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1), '') AS host,
          list_filter(string_split(regexp_extract(u, '^(?:[a-z][a-z0-9+.\-]*:)?//[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM own
 ), hosts AS (
   SELECT h, ('0x' || m[1:3])::BIGINT % 365 AS a, ('0x' || m[4:5])::BIGINT % 120 AS b, ('0x' || m[6:7])::BIGINT % 8 AS k
@@ -120,6 +142,7 @@ WITH own AS (
   UNION SELECT 'spam', h, a + 2 * b + 1, 'add' FROM hosts WHERE k < 3
   UNION SELECT 'adult', h || '/fr', b, 'add' FROM hosts WHERE k < 3
   UNION SELECT 'phish', h, a - 30, 'remove' FROM hosts WHERE k < 3
+  UNION SELECT 'page', host || '/' || array_to_string(parts[1:6], '/'), ('0x' || md5(url)[3:4])::BIGINT % 300, 'add' FROM parsed WHERE host IS NOT NULL AND len(parts) > 0 AND ('0x' || md5(url)[1:2])::BIGINT % 8 = 0
 ), last AS (
   SELECT list_name, pattern, make_timestamp((1704067200 + day * 86400) * 1000000) AS ts, max(action) AS action FROM log GROUP BY ALL
 ), turns AS (
@@ -129,7 +152,7 @@ WITH own AS (
 ), matched AS (
   SELECT p.page_id, p.host, s.list_name, s.pattern, s.ts FROM parsed p JOIN spans s
   ON (p.host = split_part(s.pattern, '/', 1) OR ends_with(p.host, '.' || split_part(s.pattern, '/', 1)))
-  AND (NOT contains(s.pattern, '/') OR list_contains(p.parts[1:1], split_part(s.pattern, '/', 2)))
+  AND p.parts[1:len(string_split(s.pattern, '/')) - 1] = string_split(s.pattern, '/')[2:]
   AND p.t >= s.ts AND (s.till IS NULL OR p.t < s.till)
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern, list_name) AS r, count(*) OVER (PARTITION BY page_id) AS active FROM matched

@@ -65,3 +65,11 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert out.columns == df.columns and sorted(r.page_id or 0 for r in out.collect()) == [0, 1, 2, 3, 5, 6]
     assert ul.evaluate(df.limit(0), log).count() == 0
     assert ul.evaluate(df, log.limit(0)).where("blocked").count() == 0
+
+
+def test_addresses_ports_and_bare_names(spark):
+    log = [("l", "[2001:DB8::1]/x", D(1), "add"), ("l", "10.0.0.1", D(1), "add"), ("l", "0.1", D(1), "add"), ("l", "http://u@b.org:8080//p/?q", D(1), "add")]
+    urls = {"http://[2001:db8::1]:80/x/y": 1, "http://[2001:db8::1]/z": 0, "http://10.0.0.1/a": 1, "http://9.10.0.0.1/": 0, "b.org/p/1": 1, "WWW.b.org:81/p": 1, "b.org": 0, "mailto:x@b.org": 0, "s.b.org//p": 1}
+    df = spark.createDataFrame([(i, u, D(5)) for i, u in enumerate(urls)], "page_id bigint, url string, fetched_at timestamp")
+    got = {r.page_id: r.active for r in ul.evaluate(df, entries(spark, log)).collect()}
+    assert got == dict(enumerate(urls.values()))
