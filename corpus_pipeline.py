@@ -6,7 +6,9 @@ pii         entities and the terms that disclose them are generalised or removed
 mixing      documents are sampled so that sources have their target shares of tokens
 packing     what remains is packed into sequences; the result says which tokens of which document are in which
 
-All stages but the last return the columns of documents. ORACLE_SQL is None, as neither the network nor the
+All stages but the last return the columns of documents, others of any name included. Rows of null text pass all stages and are in no sequence;
+rows of null id pass near_dedup ungrouped, and as one unit mixing; repeated rows are one after near_dedup; empty texts and very long ones pass as any
+other, whole; of equal texts the least id stays; empty tables give no rows. ORACLE_SQL is None, as neither the network nor the
 alignment, the flight phase or the packing can be put in SQL; tests/llm holds the stages against brute force.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuskit.llm import mixing, near_dedup, packing, pii, toxicity
-from corpuskit.llm._spark import checkpoint_dir
+from corpuskit.llm._spark import checkpoint_dir, cut
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,17 +54,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's rows are written to the shared folder and read again as the next one's."""
+    """All stages over documents. Each stage's rows are written to the shared folder and read again as the next one's; nothing of these stays, whether it ends well or not."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-    return docs
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _delete(spark, f"{folder}/{k - 1}")
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        _delete(spark, folder)
