@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm import ann, fingerprints, mixing, near_dedup, packing, pii, sharding, token_blocks, toxicity, url_lists
 
+#: The file of a public vocabulary; its folder is the environment's to name.
+VOCABULARY = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +32,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_blocks.encode_texts(table(spark, sf_dir, "documents"))
+    return token_blocks.encode_texts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

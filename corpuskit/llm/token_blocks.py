@@ -7,16 +7,15 @@ any block can be read without those before it.
 A block is: minimum (uint32), width (uint8), ids (uint8), exceptions (uint8), then the packed values, the
 low order bits first, padded to a byte, then the exceptions' places (uint8 each) and values less minimum (uint32 each).
 
-Ids are those of a public byte-level vocabulary, read from the folder `tokenizers`. Defined results: a null text has null
+Ids are those of a public byte-level vocabulary, a file of ranks that every worker can read. Defined results: a null text has null
 payload and index and 0 ids; an empty text has an empty payload; repeated rows are each encoded; very long texts are
-encoded in pieces that end at a line's end followed by a letter, or at a space, which gives valid ids of the whole text; an empty table gives an
+encoded in pieces that begin at a single space between two words, which gives the ids of the whole text; of equal values at the percentile all are packed; an empty table gives an
 empty one. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import base64
-import importlib.util
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,23 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, PERCENTILE = 128, 90
-TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: How texts are cut before merging, for public byte-level vocabularies of this kind.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Characters beyond which a text is encoded in pieces.
 PIECE = 200_000
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n", "u1"), ("exceptions", "u1")])
 
 
 @lru_cache(maxsize=4)
-def _encoding(folder: str, name: str):
+def _encoding(vocabulary: str, pattern: str = PATTERN):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("vocabularies", Path(folder) / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(Path(folder) / name, "rb") as lines:
+    with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(Path(vocabulary).name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 _SPACE = re.compile(r"(?<=[^\s]) (?=[^\s])")
@@ -62,8 +58,8 @@ def text_pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[begin:]
 
 
-def token_ids(texts: list[str], folder: str = TOKENIZERS, name: str = VOCABULARY) -> list[np.ndarray]:
-    encode = _encoding(folder, name).encode_ordinary
+def token_ids(texts: list[str], vocabulary: str, pattern: str = PATTERN) -> list[np.ndarray]:
+    encode = _encoding(vocabulary, pattern).encode_ordinary
     return [np.array(encode(t) if len(t) <= PIECE else [i for p in text_pieces(t) for i in encode(p)], dtype=np.uint32) for t in texts]
 
 
@@ -145,7 +141,7 @@ def decode(payload: bytes, starts: np.ndarray) -> np.ndarray:
     return np.concatenate([decode_block(payload, int(s)) for s in starts]) if len(starts) else np.zeros(0, dtype=np.uint32)
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
     """(id_col, n_tokens, n_exceptions, block_starts, payload) of each row."""
 
     @F.pandas_udf("struct<n_tokens: bigint, n_exceptions: bigint, block_starts: array<int>, payload: binary>")
@@ -155,7 +151,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = texts.tolist()
             for begin in range(0, len(values), 256):
                 part = values[begin : begin + 256]
-                ids = token_ids([t or "" for t in part], tokenizers, vocabulary)
+                ids = token_ids([t or "" for t in part], vocabulary, pattern)
                 for t, own, (payload, starts, over) in zip(part, ids, encode(ids, block, percentile), strict=True):
                     rows.append((0, 0, None, None) if t is None else (len(own), over, starts, payload))
             yield pd.DataFrame(rows, columns=["n_tokens", "n_exceptions", "block_starts", "payload"])

@@ -9,7 +9,7 @@ import regex
 
 from corpuskit.llm import near_dedup, packing, pii, sharding, token_blocks, toxicity
 from corpuskit.llm._text import word_hashes
-from corpuskit.llm.queries import ORACLE_SQL, QUERIES
+from corpuskit.llm.queries import ORACLE_SQL, QUERIES, VOCABULARY
 from tests.llm.test_pii import brute, luhn
 from tests.oracle import compare
 
@@ -61,7 +61,7 @@ def test_op3_has_the_nearest(spark):
 
 
 def test_op4_texts_come_back(spark, sf_dir):
-    encoding = token_blocks._encoding(token_blocks.TOKENIZERS, token_blocks.VOCABULARY)
+    encoding = token_blocks._encoding(VOCABULARY)
     all_ = docs(spark, sf_dir)
     rows = QUERIES["op4_token_blocks"](spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == set(all_)

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpuskit.llm import token_blocks as tb
+from corpuskit.llm.queries import VOCABULARY
 
 ids = st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=400)
 
@@ -36,17 +37,39 @@ def test_pieces_of_long_texts_encode_like_the_whole():
     text = "Some words, and more\n\nlines  of them. " * 400
     pieces = list(tb.text_pieces(text, 500))
     assert "".join(pieces) == text and len(pieces) > 10
-    whole = tb._encoding(tb.TOKENIZERS, tb.VOCABULARY).encode_ordinary(text)
-    assert [i for p in pieces for i in tb._encoding(tb.TOKENIZERS, tb.VOCABULARY).encode_ordinary(p)] == whole
+    whole = tb._encoding(VOCABULARY).encode_ordinary(text)
+    assert [i for p in pieces for i in tb._encoding(VOCABULARY).encode_ordinary(p)] == whole
 
 
 def test_texts_come_back(spark):
     texts = ["hello world", "", None, "naïve ünïcödé 🙂 " * 300, "hello world", "a" * 5000]
     df = spark.createDataFrame([(i, t, 1, b"") for i, t in enumerate(texts)] + [(None, "x", 1, b"")], "doc_id bigint, text string, n_tokens int, payload binary")
-    encoded = tb.encode_texts(df)
+    encoded = tb.encode_texts(df, VOCABULARY)
     got = {r.doc_id: r.token_ids for r in tb.decode_texts(encoded).collect()}
-    enc = tb._encoding(tb.TOKENIZERS, tb.VOCABULARY)
+    enc = tb._encoding(VOCABULARY)
     for i, t in enumerate(texts):
         assert got[i] is None if t is None else enc.decode(got[i]) == t
     assert {r.doc_id: r.n_tokens for r in encoded.collect()}[1] == 0
-    assert tb.encode_texts(df.limit(0)).count() == 0
+    assert tb.encode_texts(df.limit(0), VOCABULARY).count() == 0
+
+
+def plain_decode(payload):
+    """The ids of a payload, bit by bit, from the layout that the module's docstring gives."""
+    out, at = [], 0
+    while at < len(payload):
+        least, width, n, exceptions = int.from_bytes(payload[at : at + 4], "little"), *payload[at + 4 : at + 7]
+        packed = int.from_bytes(payload[at + 7 : at + 7 + (n * width + 7) // 8], "little")
+        own = [packed >> i * width & (1 << width) - 1 for i in range(n)]
+        at += 7 + (n * width + 7) // 8
+        for j in range(exceptions):
+            own[payload[at + j]] = int.from_bytes(payload[at + exceptions + 4 * j : at + exceptions + 4 * j + 4], "little")
+        at += 5 * exceptions
+        out += [least + x for x in own]
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(ids, st.sampled_from([50, 90, 100]))
+def test_the_layout_is_the_documented_one(stream, percentile):
+    ((payload, _, _),) = tb.encode([np.array(stream, dtype=np.uint32)], 128, percentile)
+    assert plain_decode(payload) == stream
