@@ -14,42 +14,54 @@ def first_of_each(df: DataFrame, by: list[str], *order: Column | str) -> DataFra
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder; where none is named, as in tests, one of this machine."""
+    """df, written to the session's checkpoint folder. A local session that names none, as in tests, gets one of this machine; a cluster's is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuskit-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuskit-"))
     return df.checkpoint()
 
 
-def capped_first_wins(rows: DataFrame, cap: int, sources: list[str]) -> DataFrame:
+def capped_first_wins(rows: DataFrame, cap: int | None, sources: list[str]) -> DataFrame:
     """rows (source, ord, shape, leak) with drop_reason, as if they were gone through one by one, sources in the order given.
 
-    A row is kept if its source has kept fewer than cap rows, no earlier row of its shape was kept, and it doesn't
-    leak; only kept rows register their shape. In each source the first row of a new shape that doesn't leak
-    is a candidate; the cap keeps the first ones, and what comes after the last of these doesn't count at all.
+    A row is kept if its source has kept fewer than cap rows (None or 0: any number), no earlier row of its shape was kept, and it
+    doesn't leak; only kept rows register their shape. A row of null shape is no candidate: it has no reason but that it can come behind its source's
+    last kept row. A source that isn't in the order given, or null, has the reason "unknown_source".
+
+    Without caps the first row of each shape that doesn't leak is kept, by one aggregate over (source, ord). Each source whose cap binds then
+    loses what comes behind its last kept row, the first such source first, and the aggregate is made again without that.
     """
-    kept = rows.select("shape").limit(0)
-    done = rows.withColumn("drop_reason", F.lit(None).cast("string")).limit(0)
-    for source in sources:
-        own = rows.where(F.col("source") == source)
-        known = kept.distinct().withColumn("known", F.lit(True))
-        marked = own.join(known, "shape", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        fresh = ~F.col("known") & ~F.col("leak")
-        firsts = marked.where(fresh).groupBy("shape").agg(F.min("ord").alias("first"))
-        chosen = checkpointed(firsts.orderBy("first").limit(cap))
-        last, n = chosen.agg(F.max("first"), F.count("*")).first()
-        marked = marked.join(firsts, "shape", "left")
-        over = (F.col("ord") > last) if n == cap and last is not None else F.lit(cap == 0)
-        reason = (
-            F.when(over, "source_cap")
-            .when(F.col("known") | (F.col("first") < F.col("ord")), "near_duplicate")
-            .when(F.col("leak"), "benchmark_leak")
-        )
-        done = done.unionByName(marked.withColumn("drop_reason", reason).select(done.columns))
-        kept = checkpointed(kept.unionByName(chosen.select("shape")))
-    return done
+    place = F.array_position(F.array(*map(F.lit, sources)), F.col("source")) if sources else F.lit(None).cast("bigint")
+    rows = checkpointed(rows.withColumn("__source", F.nullif(place, F.lit(0).cast("bigint"))))
+    last: dict[int, object] = {}
+    fresh = rows.where(F.col("shape").isNotNull() & ~F.col("leak") & F.col("__source").isNotNull()).select("shape", "ord", "__source")
+    while True:
+        first = fresh.groupBy("shape").agg(F.min(F.struct("__source", "ord")).alias("__first"))
+        if not cap:
+            break
+        counts = first.groupBy("__first.__source").agg(F.count("*").alias("n")).where(F.col("n") >= cap).collect()  # a row a source
+        met = sorted(r["__source"] for r in counts if r["__source"] not in last)
+        if not met:
+            break
+        own = first.where(F.col("__first.__source") == met[0]).select("__first.ord")
+        last[met[0]] = own.orderBy("ord").limit(cap).agg(F.max("ord")).first()[0]
+        fresh = fresh.where((F.col("__source") != met[0]) | (F.col("ord") <= F.lit(last[met[0]])))
+    behind = F.lit(False)
+    for source, at in last.items():
+        behind = behind | ((F.col("__source") == source) & (F.col("ord") > F.lit(at)))
+    marked = rows.join(first, "shape", "left")
+    reason = (
+        F.when(F.col("__source").isNull(), "unknown_source")
+        .when(behind, "source_cap")
+        .when(F.col("__first") < F.struct("__source", "ord"), "near_duplicate")
+        .when(F.col("shape").isNotNull() & F.col("leak"), "benchmark_leak")
+    )
+    return marked.withColumn("drop_reason", reason).drop("__source", "__first")
 
 
 def benchmark_index(tasks: DataFrame) -> DataFrame:

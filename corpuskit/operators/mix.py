@@ -17,15 +17,32 @@ def numbered(df: DataFrame, *order: Column | str, by: Sequence[str] = (), name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def _prefixes(df: DataFrame, column: str, buckets: int) -> Column:
+    """A prefix of the column's strings that puts them in buckets in their order: three characters more than all have in common, and of frequent ones more, twice as many each time."""
+    low, high, total = df.agg(F.min(column), F.max(column), F.count("*")).first()
+    text = F.coalesce(F.col(column), F.lit(""))
+    common = next((i for i, (a, b) in enumerate(zip(low or "", high or "", strict=False)) if a != b), min(len(low or ""), len(high or "")))
+    size, place = common + 3, F.substring(text, 1, common + 3)
+    for level in range(8):
+        counts = df.select(place.alias("p")).groupBy("p").agg(F.count("*").alias("n")).where((F.col("n") > max(total // buckets * 8, 10_000)) & (F.length("p") >= size))
+        hot = [r["p"] for r in counts.collect()]  # at most buckets / 8
+        if not hot:
+            break
+        size += 3 << level
+        place = F.when(place.isin(hot), F.substring(text, 1, size)).otherwise(place)
+    return place
+
+
 def ranked(df: DataFrame, order: str | Sequence[str], name: str = "n", by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
     """df with numbers from 0 in order, over all rows or in each group of `by`, without a task that sorts all of them.
 
-    Rows are put in buckets that follow the first column of the order, by prefix if it is a string (a digest's are even) and by approximate
+    Rows are put in buckets that follow the first column of the order, by prefix if it is a string and by approximate
     quantiles otherwise; a row's number is that in its bucket on top of the rows of all buckets before. Any buckets give the same numbers.
+    Rows that are equal in the first column share a bucket.
     """
     order = [order] if isinstance(order, str) else list(order)
     if isinstance(df.schema[order[0]].dataType, StringType):
-        place = F.coalesce(F.substring(order[0], 1, 3), F.lit(""))
+        place = _prefixes(df, order[0], buckets)
     else:
         cuts = df.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)])).first()[0] or []
         bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
@@ -34,7 +51,7 @@ def ranked(df: DataFrame, order: str | Sequence[str], name: str = "n", by: Seque
     counts = spot.groupBy(*by, "__part").agg(F.count("*").alias("__rows"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*by, "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-    joined = spot.join(before, [*by, "__part"]) if by else spot.join(F.broadcast(before), "__part")  # a row a bucket
+    joined = spot.join(before, [*by, "__part"])
     within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
     return joined.withColumn(name, F.col("__before") + within - 1).drop("__part", "__before")
 
@@ -67,7 +84,7 @@ def interleave(docs: DataFrame, weights: DataFrame, total: int, seed: int = SEED
     """`total` rows of docs (source, ord, ...), sources in proportion to their weights; those that are too small are gone through again, each time as another epoch. n is the place in the mix."""
     counted = docs.groupBy("source").agg(F.count("*").alias("size"))
     wanted = targets(weights.join(counted, "source").select("source", "weight"), total).join(counted, "source")
-    rows = ranked(docs, "ord", "rn", by=["source"]).withColumn("rn", F.col("rn") + 1).join(F.broadcast(wanted.select("source", "target", "size")), "source")  # a row a source
+    rows = ranked(docs, "ord", "rn", by=["source"]).withColumn("rn", F.col("rn") + 1).join(wanted.select("source", "target", "size"), "source")
     copies = F.explode(F.sequence(F.lit(0), F.floor((F.col("target") - 1) / F.col("size")).cast("int")))
     out = rows.where("target > 0").select("*", copies.alias("epoch")).where("epoch * size + rn <= target")
     key = F.concat_ws("/", F.col("source"), F.col("epoch").cast("string"), F.col("rn").cast("string"))

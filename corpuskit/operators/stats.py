@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.numeric import decision, pass_at_k
+from corpuskit.functions.text import strip
 
 
 def source_stats(gated: DataFrame) -> DataFrame:
-    """By source, of rows (source, response, code, drop_reason): how many were seen and kept, characters of those, and the part of them that is prose."""
+    """By source, of rows (source, response, code, drop_reason): how many were seen before the cap was met, and kept, characters of those, blank ends of responses left out, and the part of them that is prose."""
     keep = F.col("drop_reason").isNull()
     chars = lambda c: F.coalesce(F.sum(F.when(keep, F.length(c))), F.lit(0))
     seen = F.count_if(keep | (F.col("drop_reason") != "source_cap"))
-    stats = gated.groupBy("source").agg(seen.alias("seen"), F.count_if(keep).alias("kept"), chars("response").alias("response_chars"), chars("code").alias("code_chars"))
+    stats = gated.groupBy("source").agg(seen.alias("seen"), F.count_if(keep).alias("kept"), chars(strip(F.col("response"))).alias("response_chars"), chars("code").alias("code_chars"))
     return stats.withColumn("prose", F.when(F.col("response_chars") > 0, F.lit(1.0) - F.col("code_chars") / F.col("response_chars")).otherwise(F.lit(0.0)))
 
 
@@ -25,9 +26,9 @@ def drops_by_reason(gated: DataFrame, reasons: Sequence[str]) -> DataFrame:
 
 
 def filter_report(gated: DataFrame) -> DataFrame:
-    """By source, and for all as TOTAL: seen, kept, leaks and the share kept."""
-    keep = F.count_if(F.col("drop_reason").isNull())
-    out = gated.rollup("source").agg(F.count("*").alias("seen"), keep.alias("kept"), F.count_if(F.col("drop_reason") == "benchmark_leak").alias("leaks"), (keep / F.count("*")).alias("share"), F.grouping("source").alias("g"))
+    """By source, and for all as TOTAL: seen before the source's cap was met, kept, leaks and the share kept."""
+    keep, seen = F.count_if(F.col("drop_reason").isNull()), F.count_if(F.coalesce(F.col("drop_reason") != "source_cap", F.lit(True)))
+    out = gated.rollup("source").agg(seen.alias("seen"), keep.alias("kept"), F.count_if(F.col("drop_reason") == "benchmark_leak").alias("leaks"), (keep / F.greatest(seen, F.lit(1))).alias("share"), F.grouping("source").alias("g"))
     return out.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("source")).alias("source"), "seen", "kept", "leaks", "share")
 
 
@@ -66,12 +67,15 @@ def summary(records: DataFrame, ks: Sequence[int] = (1, 5, 10), by: Sequence[str
     return out.join(maps, keys) if keys else out.crossJoin(maps)
 
 
-def probe_report(records: DataFrame, pool_size: int) -> DataFrame:
-    """One row: how many tasks pass always, never, sometimes, what that yields, and for a pool of that size, and the decision."""
+def probe_report(records: DataFrame, pool_size: int, seconds: float | None = None) -> DataFrame:
+    """One row: of the tasks probed, the share with a pass (the yield of rejection tuning), with both outcomes (of pairs), with passes alone and with none; what that and the seconds it took come to over a pool of that size; and the decision."""
     tasks = per_task(records)
-    any_, all_, mixed = F.count_if(F.col("c") > 0), F.count_if(F.col("c") == F.col("n")), F.count_if((F.col("c") > 0) & (F.col("c") < F.col("n")))
-    out = tasks.agg(F.count("*").alias("tasks"), any_.alias("any_pass"), all_.alias("all_pass"), F.count_if(F.col("c") == 0).alias("none_pass"), mixed.alias("mixed"), (F.sum("c") / F.sum("n")).alias("rft_yield"))
-    out = out.withColumn("pair_yield", F.col("mixed") / F.col("tasks")).withColumn("projected_pairs", F.floor(F.col("pair_yield") * pool_size).cast("bigint"))
+    n = F.greatest(F.count("*"), F.lit(1))
+    share = lambda which: F.count_if(which) / n
+    c, all_ = F.col("c"), F.col("n")
+    out = tasks.agg(F.count("*").alias("tasks"), share(c > 0).alias("rft_yield"), share((c > 0) & (c < all_)).alias("pair_yield"), share(c == all_).alias("all_pass"), share(c == 0).alias("all_fail"))
+    took = F.lit(seconds).cast("double")
+    out = out.withColumn("projected_pairs", F.col("pair_yield") * pool_size).withColumn("seconds", took).withColumn("projected_hours", took / F.greatest("tasks", F.lit(1)) * pool_size / 3600)
     return out.withColumn("decision", decision(F.col("rft_yield"), F.col("projected_pairs")))
 
 

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from corpuskit.functions import numeric as N
 from corpuskit.operators import preferences, stats
 from corpuskit.plans.registry import query, table
+from corpuskit.sources import readers, sinks
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'view' THEN 'FAIL' WHEN 'click' THEN 'TIMEOUT' WHEN 'error' THEN 'SYNTAX_ERROR' ELSE 'ERROR' END"
 _RECORDS = f"""records AS (
-  SELECT user_id AS task_id, (rn - 1)::INTEGER AS sample, event_id, outcome, outcome <> 'SYNTAX_ERROR' AS parses FROM (
-    SELECT *, {_OUTCOME} AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= user_id % 10 + 1
+  SELECT task_id, (row_number() OVER (PARTITION BY task_id ORDER BY event_id) - 1)::INTEGER AS sample, event_id, outcome, outcome <> 'SYNTAX_ERROR' AS parses
+  FROM (SELECT *, user_id * 20 + CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 17 + 1 END AS task_id, {_OUTCOME} AS outcome FROM events)
 )"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task_id, sample, event_id, outcome, parses): a user's first events as samples of a task, fewer for some than a k asks for."""
-    t = F.col("event_type")
+    """(task_id, sample, event_id, outcome, parses): a user's events as samples of one task of many samples and some of few, fewer than a k asks for."""
+    t, k = F.col("event_type"), F.col("event_id")
     outcome = F.when(t == "purchase", "PASS").when(t == "view", "FAIL").when(t == "click", "TIMEOUT").when(t == "error", "SYNTAX_ERROR").otherwise("ERROR")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", outcome.alias("outcome"))
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("rn <= user_id % 10 + 1")
-    return e.select(F.col("user_id").alias("task_id"), (F.col("rn") - 1).cast("int").alias("sample"), "event_id", "outcome", (F.col("outcome") != "SYNTAX_ERROR").alias("parses"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 20 + F.when(k % 3 == 0, 0).otherwise(k % 17 + 1)).alias("task_id"), outcome.alias("outcome"))
+    rn = F.row_number().over(Window.partitionBy("task_id").orderBy("event_id"))
+    return e.select("task_id", (rn - 1).cast("int").alias("sample"), "event_id", "outcome", (F.col("outcome") != "SYNTAX_ERROR").alias("parses"))
 
 
 def _pass(k: int) -> str:
@@ -57,10 +58,11 @@ def outcome_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(records(spark, sf_dir)).withColumn("freq", F.round("freq", 9))
 
 
-@query(f"""WITH {_TASKS}, r AS (SELECT count(*) AS tasks, count(*) FILTER (WHERE c > 0) AS any_pass, count(*) FILTER (WHERE c = n) AS all_pass, count(*) FILTER (WHERE c = 0) AS none_pass, count(*) FILTER (WHERE c > 0 AND c < n) AS mixed, sum(c) / sum(n) AS y FROM tasks)
-SELECT tasks, any_pass, all_pass, none_pass, mixed, round(y, 9) AS rft_yield, round(mixed / tasks, 9) AS pair_yield, floor(mixed / tasks * 4000)::BIGINT AS projected_pairs, CASE WHEN y < 0.02 THEN 'stop' WHEN floor(mixed / tasks * 4000) < 300 THEN 'defer' ELSE 'proceed' END AS decision FROM r""")
+@query(f"""WITH {_TASKS}, r AS (SELECT count(*) AS tasks, count(*) FILTER (WHERE c > 0) / count(*) AS y, count(*) FILTER (WHERE c > 0 AND c < n) / count(*) AS p, count(*) FILTER (WHERE c = n) / count(*) AS a, count(*) FILTER (WHERE c = 0) / count(*) AS f FROM tasks)
+SELECT tasks, round(y, 9) AS rft_yield, round(p, 9) AS pair_yield, round(a, 9) AS all_pass, round(f, 9) AS all_fail, round(p * 4000, 6) AS projected_pairs, 90.0::DOUBLE AS seconds, round(90.0 / tasks * 4000 / 3600, 9) AS projected_hours, CASE WHEN y < 0.02 THEN 'stop' WHEN p * 4000 < 300 THEN 'defer' ELSE 'proceed' END AS decision FROM r""")
 def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.probe_report(records(spark, sf_dir), 4000).withColumns({c: F.round(c, 9) for c in ("rft_yield", "pair_yield")})
+    r = stats.probe_report(records(spark, sf_dir), 4000, 90.0)
+    return r.withColumns({c: F.round(c, 9) for c in ("rft_yield", "pair_yield", "all_pass", "all_fail", "projected_hours")}).withColumn("projected_pairs", F.round("projected_pairs", 6))
 
 
 @query(f"""WITH {_RECORDS}, staged AS (SELECT *, 2000 * (event_id % 3 + 1) AS iter FROM records), tasks AS (SELECT iter, task_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'PASS') AS c FROM staged GROUP BY ALL)
@@ -170,10 +172,13 @@ def outcomes_of_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", N.outcome_of(err).alias("o")).select("event_id", "o.outcome", "o.detail")
 
 
-@query("SELECT event_id, event_type, round(value, 6) AS value FROM events")
-def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("j"))
-    return e.select(F.from_json("j", "event_id bigint, event_type string, value double").alias("r")).select("r.event_id", "r.event_type", F.round("r.value", 6).alias("value"))
+@query(f"""WITH {_RECORDS} SELECT task_id::VARCHAR AS task_id, sample, outcome, 'said "' || event_id || '"\n\\é' AS detail, parses, NULL::VARCHAR AS code FROM records WHERE event_id % 7 <> 0""")
+def records_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON lines, of which every seventh is torn in the middle, and read again: what is whole comes back as it was."""
+    r = records(spark, sf_dir).select(F.col("task_id").cast("string").alias("task_id"), "sample", "outcome", F.concat(F.lit('said "'), F.col("event_id").cast("string"), F.lit('"\n\\é')).alias("detail"), "parses", F.lit(None).cast("string").alias("code"), "event_id")
+    line = sinks.json_line(*readers.RECORD.fieldNames())
+    torn = F.when(F.col("event_id") % 7 == 0, F.substr(line, F.lit(1), (F.length(line) / 2).cast("int"))).otherwise(line)
+    return r.select(readers.parsed(torn).alias("r")).where("r is not null").select("r.*")
 
 
 @query("""WITH e AS (SELECT event_id, value, row_number() OVER (PARTITION BY event_id // 8 ORDER BY event_id) AS i FROM events)

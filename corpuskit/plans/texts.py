@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.config import BY_NAME, PROSE_FORMATS, Gates
 from corpuskit.functions import text as T
 from corpuskit.functions.python import parses, shape
-from corpuskit.operators import dedup, filters, mix, preferences, stats
+from corpuskit.operators import builds, dedup, filters, mix, preferences, stats
 from corpuskit.plans.registry import query, table
 from corpuskit.sources import readers
 
@@ -69,6 +69,20 @@ def scan_instruct_without_language(spark: SparkSession, sf_dir: str) -> DataFram
     return readers.documents_of(t.withColumnRenamed("response", "answer"), "glaive")
 
 
+@query(f"""
+WITH {TURNS}, tagged AS (SELECT *, ord % 3 AS m, CASE ord % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'PYTHON' WHEN 2 THEN 'python3' ELSE 'java' END AS lang, prompt || CASE WHEN ord % 2 = 0 THEN ' python' ELSE '' END AS question FROM turns)
+SELECT CASE m WHEN 0 THEN 'tinycodes' WHEN 1 THEN 'magicoder_oss' ELSE 'magicoder_evol' END AS source, ord, '## Task\n' || trim(CASE WHEN m = 2 THEN question ELSE prompt END) || '\n\n## Solution\n' || trim(response) AS text FROM tagged
+WHERE length(response) < 3000 AND trim(response) <> '' AND CASE WHEN m = 2 THEN contains(lower(question || response), 'python') ELSE lower(lang) = 'python' END""")
+def scan_other_instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sources that the scans above don't have."""
+    k = F.col("ord")
+    t = turns(spark, sf_dir).withColumn("lang", F.when(k % 4 == 0, "Python").when(k % 4 == 1, "PYTHON").when(k % 4 == 2, "python3").otherwise("java"))
+    tiny = t.where(k % 3 == 0).withColumnRenamed("lang", "programming_language")
+    oss = t.where(k % 3 == 1).withColumnsRenamed({"prompt": "problem", "response": "solution"})
+    evol = t.where(k % 3 == 2).withColumn("instruction", F.concat("prompt", F.when(k % 2 == 0, " python").otherwise("")))
+    return readers.documents_of(tiny, "tinycodes").unionByName(readers.documents_of(oss, "magicoder_oss")).unionByName(readers.documents_of(evol, "magicoder_evol"))
+
+
 _FORMATS = ", ".join(f"'{f}'" for f in PROSE_FORMATS)
 
 
@@ -156,11 +170,12 @@ def split_asserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS words FROM documents), b AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS words FROM benchmark WHERE item_id = 0)
-SELECT doc_id, len(w.words) AS n_words, CASE WHEN least(len(w.words), len(b.words)) > 0 THEN round(len(list_intersect(w.words, b.words)) / least(len(w.words), len(b.words)), 9) END AS ratio FROM w CROSS JOIN b""")
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS words FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS words FROM benchmark)
+SELECT doc_id, len(w.words) AS n_words, CASE WHEN least(len(w.words), len(b.words)) > 0 THEN round(len(list_intersect(w.words, b.words)) / least(len(w.words), len(b.words)), 9) END AS ratio FROM w JOIN b ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
 def word_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where("item_id = 0").select(T.words(F.col("text")).alias("b"))
-    d = documents(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w")).crossJoin(F.broadcast(b))  # one row
+    """Each document against one of the problems, all of them in turn."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("b"))
+    d = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % bench.count()).alias("item_id"), T.words(F.col("text")).alias("w")).join(bench, "item_id")
     return d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.round(T.containment(F.col("w"), F.col("b")), 9).alias("ratio"))
 
 
@@ -182,7 +197,7 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(T.def_names(c)).cast("bigint").alias("defs"), T.entry_point(c).alias("entry_point"))
 
 
-_ASK = "CASE doc_id % 5 WHEN 0 THEN 'What is ' WHEN 1 THEN 'Please IMPLEMENT ' WHEN 2 THEN ' explain the function ' WHEN 3 THEN 'functional ' ELSE '' END || substr(text, 1, 80)"
+_ASK = "CASE doc_id % 5 WHEN 0 THEN 'What is ' WHEN 1 THEN 'Please IMPLEMENT ' WHEN 2 THEN ' explain the function ' WHEN 3 THEN 'functional ' ELSE '' END || text"
 
 
 @query(f"""
@@ -190,31 +205,49 @@ SELECT doc_id, regexp_matches(p, '(?i)\\b(algorithm|calculate|class|code|compute
        regexp_matches(p, '(?i)^\\s*(describe|explain|how does|what are|what is|what''s the difference|when should|why does|why is)\\b') AS conceptual FROM (SELECT doc_id, {_ASK} AS p FROM documents)""")
 def request_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    p = F.concat(F.when(k % 5 == 0, "What is ").when(k % 5 == 1, "Please IMPLEMENT ").when(k % 5 == 2, " explain the function ").when(k % 5 == 3, "functional ").otherwise(""), F.substring("text", 1, 80))
+    p = F.concat(F.when(k % 5 == 0, "What is ").when(k % 5 == 1, "Please IMPLEMENT ").when(k % 5 == 2, " explain the function ").when(k % 5 == 3, "functional ").otherwise(""), "text")
     return documents(spark, sf_dir).select("doc_id", T.asks_code(p).alias("asks"), T.conceptual(p).alias("conceptual"))
 
 
+CAP = 12
+
+
 def instruct_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, ord, prompt, response) from documents, with a branch for every gate."""
+    """(source, ord, prompt, response) from whole documents, with a branch for every gate. The code's syntax tree follows from the id, and the text is a comment in it."""
     k = F.col("doc_id")
     opener = F.when(k % 11 == 0, "What is a function ").when(k % 11 == 1, "Tell me ").when(k % 11 == 2, "").otherwise("Write a function ")
-    prompt = F.when(k % 11 == 2, "code").when(k % 11 == 3, F.concat(opener, F.repeat(F.lit("long "), 260))).when(k % 11 == 10, " ").otherwise(F.concat(opener, F.substring("text", 1, 200)))
+    prompt = F.when(k % 11 == 2, "code").when(k % 11 == 3, F.concat(opener, F.repeat(F.lit("long "), 260))).when(k % 11 == 10, " ").otherwise(F.concat(opener, "text"))
     lang = F.when(k % 13 == 0, "rust").when(k % 13 < 5, "Python").when(k % 13 < 9, "").otherwise("py")
-    body = F.when(k % 17 == 0, "x = 1").otherwise(F.substring("text", 1, 2500))
+    key, flat = k.cast("string"), F.translate("text", "\n\r", "  ")
+    steps = F.repeat(F.concat(F.lit("\n    total = total + "), key), (k % 40 + 1).cast("int"))
+    made = F.concat(F.lit("def f_"), (k % 10).cast("string"), F.lit("(value):\n    total = value"), steps, F.lit("\n    return total\n# "), flat)
+    body = F.when(k % 17 == 0, "x = 1").when(k % 19 == 0, F.concat(F.lit("def broken(:\n# "), flat)).otherwise(made)
     fenced = F.concat(F.lit(FENCE), lang, F.lit("\n"), body, F.lit(f"\n{FENCE}"))
-    response = F.when(k % 7 == 0, F.col("text")).when(k % 7 == 1, F.concat(fenced, F.lit("\nor\n"), fenced)).otherwise(fenced)
+    response = F.when(k % 7 == 0, F.col("text")).when(k % 7 == 1, F.concat(fenced, F.lit("\nor\n"), fenced)).otherwise(F.concat(fenced, F.lit(" \n")))
     return documents(spark, sf_dir).select(F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), k.alias("ord"), prompt.alias("prompt"), response.alias("response"))
 
 
+def problem_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_point, bench_words) of the benchmark, and of some documents as if they were in it too."""
+    one = lambda df, key: df.select(F.concat(F.lit("f_"), (F.col(key) % 10).cast("string")).alias("entry_point"), T.words(F.col("text")).alias("bench_words"))
+    return one(table(spark, sf_dir, "benchmark"), "item_id").unionByName(one(documents(spark, sf_dir).where("doc_id % 29 = 7"), "doc_id"))
+
+
+def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.filtered_pairs(instruct_fixture(spark, sf_dir), ["s0", "s1", "s2"], problem_index(spark, sf_dir), Gates(per_source=CAP))
+
+
 _GATED = f"""
 fixture AS (
   SELECT 's' || doc_id % 3 AS source, doc_id AS ord,
     CASE WHEN doc_id % 11 = 2 THEN 'code' WHEN doc_id % 11 = 3 THEN 'Write a function ' || repeat('long ', 260) WHEN doc_id % 11 = 10 THEN ' '
-         ELSE CASE doc_id % 11 WHEN 0 THEN 'What is a function ' WHEN 1 THEN 'Tell me ' ELSE 'Write a function ' END || substr(text, 1, 200) END AS prompt,
-    '{FENCE}' || CASE WHEN doc_id % 13 = 0 THEN 'rust' WHEN doc_id % 13 < 5 THEN 'Python' WHEN doc_id % 13 < 9 THEN '' ELSE 'py' END || '\n' || CASE WHEN doc_id % 17 = 0 THEN 'x = 1' ELSE substr(text, 1, 2500) END || '\n{FENCE}' AS fenced, text, doc_id
+         ELSE CASE doc_id % 11 WHEN 0 THEN 'What is a function ' WHEN 1 THEN 'Tell me ' ELSE 'Write a function ' END || text END AS prompt,
+    '{FENCE}' || CASE WHEN doc_id % 13 = 0 THEN 'rust' WHEN doc_id % 13 < 5 THEN 'Python' WHEN doc_id % 13 < 9 THEN '' ELSE 'py' END || '\n' ||
+    CASE WHEN doc_id % 17 = 0 THEN 'x = 1' WHEN doc_id % 19 = 0 THEN 'def broken(:\n# ' || translate(text, '\n\r', '  ')
+         ELSE 'def f_' || doc_id % 10 || '(value):\n    total = value' || repeat('\n    total = total + ' || doc_id, (doc_id % 40 + 1)::INTEGER) || '\n    return total\n# ' || translate(text, '\n\r', '  ') END || '\n{FENCE}' AS fenced, text, doc_id
   FROM documents
 ), answered AS (
-  SELECT source, ord, prompt, CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN fenced || '\nor\n' || fenced ELSE fenced END AS response FROM fixture
+  SELECT source, ord, prompt, CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN fenced || '\nor\n' || fenced ELSE fenced || ' \n' END AS response FROM fixture
 ), taken AS (
   SELECT *, trim(prompt, ' \n\t\r') AS task, regexp_extract_all(response, '{T.FENCED}', 1) AS l, regexp_extract_all(response, '{T.FENCED}', 2) AS b FROM answered
 ), measured AS (SELECT *, trim(b[1], '\n') AS code FROM taken
@@ -226,35 +259,72 @@ fixture AS (
     WHEN len(l) = 0 THEN 'no_fenced_block' WHEN len(l) > 1 THEN 'multi_block'
     WHEN lower(l[1]) NOT IN ('', 'py', 'python', 'python3') THEN 'not_python'
     WHEN length(code) NOT BETWEEN 60 AND 2400 THEN 'code_length'
-    WHEN length(task) + length(code) > 2000 THEN 'pair_too_long' END AS drop_reason FROM measured
+    WHEN length(task) + length(code) > 2000 THEN 'pair_too_long' END AS gate FROM measured
 )"""
 
 
-@query(f"WITH {_GATED} SELECT source, ord, drop_reason, code FROM gated")
+def _chosen(n: int) -> str:
+    """The first of each shape in source n that no source before has kept, under the cap."""
+    known = "".join(f" AND shape NOT IN (SELECT shape FROM k{i})" for i in range(n))
+    return f"k{n} AS (SELECT shape, min(ord) AS first, {n} AS rank FROM shaped WHERE source = 's{n}' AND shape IS NOT NULL AND NOT leak{known} GROUP BY shape ORDER BY first LIMIT {CAP})"
+
+
+_FILTERED = f"""{_GATED}, problems AS (
+  SELECT 'f_' || item_id % 10 AS entry_point, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS b FROM benchmark
+  UNION ALL SELECT 'f_' || doc_id % 10, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) FROM documents WHERE doc_id % 29 = 7
+), passed AS (
+  SELECT ord, 'f_' || ord % 10 AS entry_point, list_distinct(regexp_extract_all(lower(task), '[a-z0-9_]+')) AS w FROM gated WHERE gate IS NULL AND ord % 19 <> 0
+), leaking AS (
+  SELECT DISTINCT ord FROM passed JOIN problems USING (entry_point) WHERE len(b) > 0 AND len(w) > 0 AND len(list_intersect(w, b)) / least(len(w), len(b)) >= 0.7
+), shaped AS (
+  SELECT *, CASE WHEN gate IS NULL AND ord % 19 <> 0 THEN 'steps' || ord % 40 END AS shape, ord IN (SELECT ord FROM leaking) AS leak FROM gated
+), {_chosen(0)}, {_chosen(1)}, {_chosen(2)}, kept AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2
+), ends AS (SELECT 's' || rank AS source, max(first) AS last FROM kept GROUP BY rank HAVING count(*) = {CAP}
+), filtered AS (
+  SELECT s.source, s.ord, s.task, s.code, s.response, CASE WHEN s.ord > e.last THEN 'source_cap' WHEN gate IS NOT NULL THEN gate WHEN s.shape IS NULL THEN 'unparseable'
+    WHEN (k.rank, k.first) < (s.source[2:]::INTEGER, s.ord) THEN 'near_duplicate' WHEN leak THEN 'benchmark_leak' END AS drop_reason
+  FROM shaped s LEFT JOIN kept k USING (shape) LEFT JOIN ends e USING (source)
+)"""
+
+
+@query(f"WITH {_GATED} SELECT source, ord, gate AS drop_reason, code FROM gated")
 def gate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first gate of the text that each instruction pair fails."""
     return filters.with_gate(instruct_fixture(spark, sf_dir)).select("source", "ord", "drop_reason", "code")
 
 
-@query(f"""WITH {_GATED}
-SELECT source, count(*) AS seen, count(*) FILTER (WHERE drop_reason IS NULL) AS kept, coalesce(sum(length(response)) FILTER (WHERE drop_reason IS NULL), 0)::BIGINT AS response_chars, coalesce(sum(length(code)) FILTER (WHERE drop_reason IS NULL), 0)::BIGINT AS code_chars,
-  CASE WHEN coalesce(sum(length(response)) FILTER (WHERE drop_reason IS NULL), 0) > 0 THEN round(1 - sum(length(code)) FILTER (WHERE drop_reason IS NULL) / sum(length(response)) FILTER (WHERE drop_reason IS NULL), 9) ELSE 0 END AS prose,
-  count(*) FILTER (WHERE drop_reason = 'multi_block') AS multi_block, count(*) FILTER (WHERE drop_reason = 'not_python') AS not_python FROM gated GROUP BY source""")
+@query(f"WITH {_FILTERED} SELECT source, ord, drop_reason FROM filtered")
+def instruction_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's way through the whole cascade: gates, parser, syntax trees, problems of the benchmark, caps."""
+    return filtered(spark, sf_dir).select("source", "ord", "drop_reason")
+
+
+@query(f"""WITH {_FILTERED}, ranked AS (SELECT *, row_number() OVER (ORDER BY md5(source || '/' || ord || '|1738')) - 1 AS n FROM filtered WHERE drop_reason IS NULL)
+SELECT source, ord, '## Task\n' || task || '\n\n## Solution\n' AS prompt, '{FENCE}python\n' || code || '\n{FENCE}' AS completion, CASE WHEN n < 8 THEN 'tasks' WHEN n < 14 THEN 'validation' ELSE 'train' END AS split FROM ranked""")
+def instruction_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that are kept, as prompts and completions, in three splits."""
+    return builds.pair_splits(filtered(spark, sf_dir), 8, 6, 1).select("source", "ord", "prompt", "completion", "split")
+
+
+@query(f"""WITH {_FILTERED}, k AS (SELECT *, drop_reason IS NULL AS keep, length(trim(response, ' \n\t\r')) AS r, length(code) AS c FROM filtered)
+SELECT source, count(*) FILTER (WHERE drop_reason IS DISTINCT FROM 'source_cap') AS seen, count(*) FILTER (WHERE keep) AS kept, coalesce(sum(r) FILTER (WHERE keep), 0)::BIGINT AS response_chars, coalesce(sum(c) FILTER (WHERE keep), 0)::BIGINT AS code_chars,
+  CASE WHEN coalesce(sum(r) FILTER (WHERE keep), 0) > 0 THEN round(1 - sum(c) FILTER (WHERE keep) / sum(r) FILTER (WHERE keep), 9) ELSE 0 END AS prose,
+  count(*) FILTER (WHERE drop_reason = 'multi_block') AS multi_block, count(*) FILTER (WHERE drop_reason = 'not_python') AS not_python FROM k GROUP BY source""")
 def source_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = filters.with_gate(instruct_fixture(spark, sf_dir))
-    return stats.source_stats(gated).withColumn("prose", F.round("prose", 9)).join(stats.drops_by_reason(gated, ["multi_block", "not_python"]), "source")
+    rows = dedup.checkpointed(filtered(spark, sf_dir))
+    return stats.source_stats(rows).withColumn("prose", F.round("prose", 9)).join(stats.drops_by_reason(rows, ["multi_block", "not_python"]), "source")
 
 
-@query(f"""WITH {_GATED}
-SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS seen, count(*) FILTER (WHERE drop_reason IS NULL) AS kept, count(*) FILTER (WHERE drop_reason = 'benchmark_leak') AS leaks, round(count(*) FILTER (WHERE drop_reason IS NULL) / count(*), 9) AS share FROM gated GROUP BY ROLLUP (source)""")
+@query(f"""WITH {_FILTERED}, k AS (SELECT *, drop_reason IS DISTINCT FROM 'source_cap' AS seen FROM filtered)
+SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) FILTER (WHERE seen) AS seen, count(*) FILTER (WHERE drop_reason IS NULL) AS kept, count(*) FILTER (WHERE drop_reason = 'benchmark_leak') AS leaks, round(count(*) FILTER (WHERE drop_reason IS NULL) / greatest(count(*) FILTER (WHERE seen), 1), 9) AS share FROM k GROUP BY ROLLUP (source)""")
 def filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.filter_report(filters.with_gate(instruct_fixture(spark, sf_dir))).withColumn("share", F.round("share", 9))
+    return stats.filter_report(filtered(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
-@query(f"""WITH {_GATED}, counted AS (SELECT source, drop_reason, count(*) AS cnt FROM gated WHERE drop_reason IS NOT NULL GROUP BY ALL)
+@query(f"""WITH {_FILTERED}, counted AS (SELECT source, drop_reason, count(*) AS cnt FROM filtered WHERE drop_reason IS NOT NULL GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, drop_reason)::INTEGER AS place FROM counted) WHERE place <= 3""")
 def top_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.top_reasons(filters.with_gate(instruct_fixture(spark, sf_dir)))
+    return stats.top_reasons(filtered(spark, sf_dir))
 
 
 @query("""
@@ -262,18 +332,18 @@ WITH shaped AS (SELECT 's' || doc_id % 3 AS source, doc_id AS ord, regexp_replac
      firsts AS (SELECT shape, min((source, ord)) AS first FROM shaped WHERE NOT leak GROUP BY shape)
 SELECT source, ord, CASE WHEN first < (source, ord) THEN 'near_duplicate' WHEN leak THEN 'benchmark_leak' END AS drop_reason FROM shaped LEFT JOIN firsts USING (shape)""")
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicates by shape go, sources in order, where the cap doesn't bind. Shapes are normalised texts here, so that SQL can make them."""
+    """Duplicates by shape go, sources in order, without a cap. Shapes are normalised texts here; instruction_build has syntax trees."""
     k = F.col("doc_id")
-    rows = documents(spark, sf_dir).select(F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), k.alias("ord"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("shape"), (k % 10 == 0).alias("leak"))
-    return dedup.capped_first_wins(rows, Gates().per_source, ["s0", "s1", "s2"]).select("source", "ord", "drop_reason")
+    rows = documents(spark, sf_dir).select(F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), k.alias("ord"), F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), 256).alias("shape"), (k % 10 == 0).alias("leak"))
+    return dedup.capped_first_wins(rows, None, ["s0", "s1", "s2"]).select("source", "ord", "drop_reason")
 
 
 @query("""
-WITH shaped AS (SELECT doc_id AS ord, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS shape FROM documents WHERE doc_id % 3 = 0),
+WITH shaped AS (SELECT doc_id AS ord, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS shape FROM documents),
      firsts AS (SELECT shape, min(ord) AS first FROM shaped GROUP BY shape), kept AS (SELECT first FROM firsts ORDER BY first LIMIT 250)
 SELECT ord, CASE WHEN ord > (SELECT max(first) FROM kept) AND (SELECT count(*) FROM kept) = 250 THEN 'source_cap' WHEN first < ord THEN 'near_duplicate' END AS drop_reason FROM shaped JOIN firsts USING (shape)""")
 def first_wins_under_a_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).where("doc_id % 3 = 0").select(F.lit("s0").alias("source"), F.col("doc_id").alias("ord"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("shape"), F.lit(False).alias("leak"))
+    rows = documents(spark, sf_dir).select(F.lit("s0").alias("source"), F.col("doc_id").alias("ord"), F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), 256).alias("shape"), F.lit(False).alias("leak"))
     return dedup.capped_first_wins(rows, 250, ["s0"]).select("ord", "drop_reason")
 
 
@@ -314,22 +384,30 @@ def humaneval_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.humaneval(raw).select("task_id", "prompt", "test_code", "reference")
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, doc_id % 4 <> 0 AS parses, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 5 END AS kind FROM documents)
+SELECT doc_id, parses, CASE WHEN parses THEN min(doc_id) OVER (PARTITION BY kind) END AS first FROM c""")
 def parsing_and_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether code made of each document parses, and its shape. No SQL can parse Python; literals test it."""
-    k = F.col("doc_id").cast("string")
-    code = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("def f_"), k, F.lit("(x):\n    return x.y + "), k, F.lit("\n")))
-    return documents(spark, sf_dir).select("doc_id", code.alias("code")).select("doc_id", parses("code").alias("parses"), F.sha2(shape("code"), 256).alias("shape"))
-
-
-@query()
+    """Whether code made of each document parses, and the first document whose code has the same syntax tree but for names and constants. The texts are comments; by the id there are broken lines, or one of five trees."""
+    d = F.col("doc_id")
+    k, comment = d.cast("string"), F.concat(F.lit("\n# "), F.translate("text", "\n\r", "  "), F.lit("\n"))
+    ends = ["x.y", "x[0]", "x + y", "-x", "x(y)"]
+    end = F.element_at(F.array(*map(F.lit, ends)), (d % 5 + 1).cast("int"))
+    code = F.when(d % 4 == 0, F.concat(F.lit("def f_"), k, F.lit("(:"), comment)).otherwise(F.concat(F.lit("def f_"), k, F.lit("(x, y="), k, F.lit("):"), comment, F.lit("    return "), end))
+    rows = documents(spark, sf_dir).select("doc_id", code.alias("code")).select("doc_id", parses("code").alias("parses"), F.sha2(shape("code"), 256).alias("shape"))
+    rows = dedup.checkpointed(rows)
+    first = rows.where("shape is not null").groupBy("shape").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "shape", "left").select("doc_id", "parses", "first")
+
+
+@query(f"""SELECT 'sft/' || doc_id AS task_id, doc_id AS ord, text AS prompt, 'assert 1\n  assert 2' AS test_code, 'f_' || doc_id AS entry_point, 'def f_' || doc_id || '(x):\n    return x\n# ' || translate(text, '\n\r', '  ') AS reference
+FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 ORDER BY doc_id LIMIT 4000""")
 def harvested_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks that bring their own tests. The parser keeps SQL out."""
+    """Tasks that bring their own tests; of every third the rest doesn't parse, and every fifth has none."""
     k = F.col("doc_id").cast("string")
-    body = F.when(F.col("doc_id") % 3 == 0, F.lit("x = (\n")).otherwise(F.concat(F.lit("def f_"), k, F.lit("(x):\n    return x\n")))
+    body = F.when(F.col("doc_id") % 3 == 0, F.lit("x = (\n")).otherwise(F.concat(F.lit("def f_"), k, F.lit("(x):\n    return x\n# "), F.translate("text", "\n\r", "  "), F.lit("\n")))
     tests = F.when(F.col("doc_id") % 5 == 0, "").otherwise("assert 1\n  assert 2\n")
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.substring("text", 1, 50).alias("prompt"), F.concat(F.lit(f"{FENCE}python\n"), body, tests, F.lit(FENCE)).alias("completion"))
-    return preferences.harvested(rows, 4_000)
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("text").alias("prompt"), F.concat(F.lit(f"{FENCE}python\n"), body, tests, F.lit(FENCE)).alias("completion"))
+    return preferences.harvested(rows, 4_000).select("task_id", "ord", "prompt", "test_code", "entry_point", "reference")
 
 
 SOURCE_CAPS = {s: BY_NAME[s].cap for s in BY_NAME}

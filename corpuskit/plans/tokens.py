@@ -2,54 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.config import Sentinels, Words
+from corpuskit.config import TOKENIZER_DOCS, Sentinels, Words
 from corpuskit.functions import text as T
-from corpuskit.operators import examples, stats, tokenizer
+from corpuskit.operators import examples, mix, stats, tokenizer
+from corpuskit.operators.tokenizer import BYTE_CHAR, Vocabulary
 from corpuskit.plans.registry import query, table
 
-_EXAMPLES = "examples AS (SELECT doc_id AS ord, list_transform(string_split(substr(text, 1, 64), ''), lambda c: unicode(c)::INTEGER) AS ids, (doc_id % 40)::INTEGER AS prompt_len FROM documents)"
+BLOCK = 2048
+_EXAMPLES = "examples AS (SELECT doc_id AS ord, list_transform(string_split(text, ''), lambda c: unicode(c)::INTEGER) AS ids, (doc_id % 40)::INTEGER AS prompt_len FROM documents)"
 _DRAW = "('0x' || md5(ord || '|1738|{0}')[1:13])::BIGINT / 4503599627370496.0"
 
 
 def example_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ord, ids, prompt_len): the code points of each text's first 64 characters."""
-    ids = F.transform(F.split(F.substring("text", 1, 64), ""), F.ascii)
+    """(ord, ids, prompt_len): the code points of each text."""
+    ids = F.transform(F.split("text", ""), F.ascii)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), ids.alias("ids"), (F.col("doc_id") % 40).cast("int").alias("prompt_len"))
 
 
-def _told(c: str):
+def _told(c: str | Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
+def _digest(c: str | Column) -> Column:
+    """Long streams are compared by their digests."""
+    return F.md5(_told(c).cast("binary"))
+
+
 @query(f"""WITH {_EXAMPLES}, drawn AS (SELECT *, len(ids) AS n, {_DRAW.format('fim')} AS u, {_DRAW.format('fim_order')} AS o, 1 + floor({_DRAW.format('fim_a')} * (len(ids) - 2))::INTEGER AS a, {_DRAW.format('fim_b')} AS ub FROM examples),
 cut AS (SELECT *, a + 1 + floor(ub * (n - 1 - a))::INTEGER AS b FROM drawn)
-SELECT ord, array_to_string(CASE WHEN n < 4 OR u >= 0.5 THEN ids WHEN o < 0.5 THEN [-2, -4] || ids[b + 1:] || [-3] || ids[1:a] || ids[a + 1:b] ELSE [-2] || ids[1:a] || [-4] || ids[b + 1:] || [-3] || ids[a + 1:b] END, ',') AS ids FROM cut""")
+SELECT ord, moved[1] AS first, len(moved) AS n, md5(array_to_string(moved, ',')) AS digest
+FROM (SELECT ord, CASE WHEN n < 4 OR u >= 0.5 THEN ids WHEN o < 0.5 THEN [-2, -4] || ids[b + 1:] || [-3] || ids[1:a] || ids[a + 1:b] ELSE [-2] || ids[1:a] || [-4] || ids[b + 1:] || [-3] || ids[a + 1:b] END AS moved FROM cut)""")
 def filled_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the streams reordered around their middle."""
     moved = examples.filled_in_middle(F.col("ids"), F.col("ord"), 0.5, Sentinels(0, -2, -3, -4))
-    return example_ids(spark, sf_dir).select("ord", moved.alias("ids")).select("ord", _told("ids").alias("ids"))
+    return example_ids(spark, sf_dir).select("ord", moved.alias("ids")).select("ord", F.get("ids", F.lit(0)).alias("first"), F.size("ids").cast("bigint").alias("n"), _digest("ids").alias("digest"))
 
 
-@query(f"""WITH {_EXAMPLES}, padded AS (SELECT *, len(ids) + 1 AS n, ids || list_transform(range(0, 65 - len(ids)), lambda i: 0) AS p FROM examples)
-SELECT ord, array_to_string(p[1:64], ',') AS x, array_to_string(list_transform(p[2:65], lambda v, i: CASE WHEN i - 1 < prompt_len - 1 OR i - 1 >= n - 1 THEN -1 ELSE v END), ',') AS y FROM padded""")
+@query(f"""WITH {_EXAMPLES}, padded AS (SELECT *, len(ids) + 1 AS n, ids || list_transform(range(0, {BLOCK + 1} - len(ids)), lambda i: 0) AS p FROM examples WHERE len(ids) <= {BLOCK})
+SELECT e.ord, md5(array_to_string(p[1:{BLOCK}], ',')) AS x, md5(array_to_string(list_transform(p[2:{BLOCK + 1}], lambda v, i: CASE WHEN i - 1 < prompt_len - 1 OR i - 1 >= n - 1 THEN -1 ELSE v END), ',')) AS y FROM documents d LEFT JOIN padded e ON e.ord = d.doc_id WHERE e.ord IS NOT NULL
+UNION ALL SELECT ord, NULL, NULL FROM examples WHERE len(ids) > {BLOCK}""")
 def masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = example_ids(spark, sf_dir).select("ord", examples.masked_example(F.col("ids"), F.col("prompt_len"), 64, 0).alias("e"))
-    return e.select("ord", _told("e.x").alias("x"), _told("e.y").alias("y"))
+    """Each whole text as an example of one block; null where it doesn't fit."""
+    e = example_ids(spark, sf_dir).select("ord", examples.masked_example(F.col("ids"), F.col("prompt_len"), BLOCK, 0).alias("e"))
+    return e.select("ord", _digest("e.x").alias("x"), _digest("e.y").alias("y"))
 
 
-@query(f"""WITH {_EXAMPLES} SELECT count(*) FILTER (WHERE len(ids) <= 60) AS kept, count(*) FILTER (WHERE len(ids) > 60) AS dropped, round(100.0 * count(*) FILTER (WHERE len(ids) > 60) / count(*), 9) AS dropped_pct, sum(len(ids))::BIGINT AS tokens FROM examples""")
+@query(f"""WITH {_EXAMPLES} SELECT count(*) FILTER (WHERE len(ids) <= {BLOCK}) AS kept, count(*) FILTER (WHERE len(ids) > {BLOCK}) AS dropped, round(100.0 * count(*) FILTER (WHERE len(ids) > {BLOCK}) / count(*), 9) AS dropped_pct, sum(len(ids))::BIGINT AS tokens FROM examples""")
 def length_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = example_ids(spark, sf_dir)
     total = e.agg(F.sum(F.size("ids")).alias("tokens"))
-    return stats.fit_report(e, F.size("ids") <= 60).withColumn("dropped_pct", F.round("dropped_pct", 9)).crossJoin(total)  # a row each
+    return stats.fit_report(e, F.size("ids") <= BLOCK).withColumn("dropped_pct", F.round("dropped_pct", 9)).crossJoin(total)  # a row each
 
 
-@query(f"""WITH {_EXAMPLES} SELECT round(sum(len(ids) - prompt_len + 1) / (count(*) * 64), 9) AS supervised FROM (SELECT * FROM examples ORDER BY ord LIMIT 2000)""")
+@query(f"""WITH {_EXAMPLES} SELECT round(sum(len(ids) - prompt_len + 1) / (count(*) * {BLOCK}), 9) AS supervised FROM (SELECT * FROM examples ORDER BY ord LIMIT 2000)""")
 def supervised_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.supervised_fraction(example_ids(spark, sf_dir), 64).select(F.round("supervised", 9).alias("supervised"))
+    """Over the first 2,000 examples, as the report has it."""
+    return stats.supervised_fraction(example_ids(spark, sf_dir), BLOCK).select(F.round("supervised", 9).alias("supervised"))
 
 
 @query(f"""WITH {_EXAMPLES}, b AS (SELECT ord, ord // 8 AS batch_id, (ord % 8)::INTEGER AS place, ids, max(ord % 8) OVER (PARTITION BY ord // 8) + 1 AS n FROM examples)
@@ -95,25 +106,83 @@ def most_frequent_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.best_pair(tokenizer.pair_counts(_letters(spark, sf_dir)))
 
 
-@query("SELECT md5(text) AS digest, count(*) AS docs FROM documents GROUP BY ALL")
-def texts_after_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary is learned from all documents, and all are encoded and decoded: they must come back as they were."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
-    v = tokenizer.train(d, 600, Words())
-    ids = d.select(tokenizer.encode_udf(v)("text").alias("ids"))
-    return ids.select(F.md5(tokenizer.decode_udf(v)("ids").cast("binary")).alias("digest")).groupBy("digest").agg(F.count("*").alias("docs"))
+#: A small vocabulary with which SQL can encode too: no merge reaches over a blank, so replacing pairs in order of rank does the same.
+MERGES = [tuple(m.split()) for m in "t h|i n|e r|Ġ th|e n|o n|Ġth e|Ġ a|Ġ d|in g|r e|Ġ o|t i|ti on|er e|a n|an d|Ġd e|Ġ l|s t|i on|l e|u n|l l|e e|Ġl e|o u|ou s|e s|Ġ un".split("|")]
 
 
-@query()
+def fixed_vocabulary() -> Vocabulary:
+    v = Vocabulary.new(Words(locked=()))
+    for pair in MERGES:
+        v.ranks[pair] = len(v.ranks)
+        v.ids.setdefault("".join(pair), len(v.ids))
+    return v
+
+
+def _pieces_sql(text: str) -> tuple[str, str]:
+    """SQL for the ids of a text of ASCII characters, and for the column `made` that it needs."""
+    made = f"'[' || array_to_string(string_split(replace(replace({text}, '\n', 'Ċ'), ' ', 'Ġ'), ''), '][') || ']'"
+    for a, b in MERGES:
+        made = f"replace({made}, '[{a}][{b}]', '[{a}{b}]')"
+    ids = fixed_vocabulary().ids
+    known = {t: ids[t] for t in [*(BYTE_CHAR[i] for i in (10, *range(32, 127))), *map("".join, MERGES)]}
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    table = "MAP {" + ", ".join(f"{quote(t)}: {i}" for t, i in known.items()) + "}"
+    return f"CASE WHEN {text} = '' THEN []::INTEGER[] ELSE list_transform(string_split(substr(made, 2, length(made) - 2), ']['), lambda t: ({table})[t]) END", made
+
+
+_WORDS = "words AS (SELECT doc_id AS ord, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS text FROM documents)"
+
+
+def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, text): the words of ASCII letters of each whole text, with single blanks."""
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), words.alias("text"))
+
+
+def _encoded_sql(name: str, source: str, text: str, keep: str) -> str:
+    """CTEs `name` (keep, ids) of the rows of `source`."""
+    ids, made = _pieces_sql("text")
+    return f"{name}_made AS (SELECT {keep}, text, {made} AS made FROM (SELECT {keep}, {text} AS text FROM {source})), {name} AS (SELECT {keep}, {ids} AS ids FROM {name}_made)"
+
+
+@query(f"WITH {_WORDS}, {_encoded_sql('e', 'words', 'text', 'ord')} SELECT ord, len(ids) AS n, md5(array_to_string(ids, ',')) AS digest FROM e")
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as the ids of a given vocabulary."""
+    encode = tokenizer.encode_udf(fixed_vocabulary())
+    return plain_words(spark, sf_dir).select("ord", encode("text").alias("ids")).select("ord", F.size("ids").cast("bigint").alias("n"), _digest("ids").alias("digest"))
+
+
+@query(f"""WITH {_WORDS}, {_encoded_sql('e', 'words', 'text', 'ord')}, drawn AS (SELECT *, len(ids) AS n, {_DRAW.format('fim')} AS u, {_DRAW.format('fim_order')} AS o, 1 + floor({_DRAW.format('fim_a')} * (len(ids) - 2))::INTEGER AS a, {_DRAW.format('fim_b')} AS ub FROM e),
+cut AS (SELECT *, a + 1 + floor(ub * (n - 1 - a))::INTEGER AS b FROM drawn),
+moved AS (SELECT ord, CASE WHEN n < 4 OR u >= 0.15 THEN ids WHEN o < 0.5 THEN [259, 261] || ids[b + 1:] || [260] || ids[1:a] || ids[a + 1:b] ELSE [259] || ids[1:a] || [261] || ids[b + 1:] || [260] || ids[a + 1:b] END || [256] AS ids FROM cut)
+SELECT ord, len(ids) AS n, md5(array_to_string(ids, ',')) AS digest FROM moved""")
 def compiled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as ended token streams, some reordered. Learned merges keep SQL out."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
-    return tokenizer.compile_corpus(d, tokenizer.train(d, 400, Words()))
+    """Whole documents as ended token streams, some reordered around their middle."""
+    made = tokenizer.compile_corpus(plain_words(spark, sf_dir), fixed_vocabulary())
+    return made.select("ord", F.size("ids").cast("bigint").alias("n"), _digest("ids").alias("digest"))
 
 
-@query()
+@query(f"""WITH {_WORDS}, {_encoded_sql('p', 'words', "'## Task\n' || text || '\n\n## Solution\n'", 'ord')}, {_encoded_sql('c', 'words', f"'{T.FENCE}python\n' || text || '\n{T.FENCE}'", 'ord')}
+SELECT ord, md5(array_to_string(p.ids || c.ids, ',')) AS digest, len(p.ids)::INTEGER AS prompt_len FROM p JOIN c USING (ord)""")
 def encoded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts and completions encoded apart."""
+    rows = plain_words(spark, sf_dir).select("ord", T.framed_prompt(F.col("text")).alias("prompt"), T.fenced_python(F.col("text")).alias("completion"))
+    return tokenizer.encode_examples(rows, fixed_vocabulary()).select("ord", _digest("ids").alias("digest"), "prompt_len")
+
+
+@query(f"""SELECT doc_id AS ord, md5(text || '\n{T.FENCE}python\nif a:\n    x = ' || doc_id || '\n\n    while b:\n        y\n    z\nw\n{T.FENCE}') AS digest FROM documents""")
+def texts_after_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with a fenced block that is indented by two, encoded and decoded: all comes back, indented by four."""
+    k = F.col("doc_id").cast("string")
+    code = F.concat(F.lit(f"\n{T.FENCE}python\nif a:\n  x = "), k, F.lit(f"\n\n  while b:\n    y\n  z\nw\n{T.FENCE}"))
+    v = Vocabulary.new()
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), tokenizer.encode_udf(v)(F.concat("text", code)).alias("ids"))
+    return ids.select("ord", F.md5(tokenizer.decode_udf(v)("ids").cast("binary")).alias("digest"))
+
+
+@query()
+def learned_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merges of a vocabulary learned from the first documents, as many as the library's builds learn from. Ranks depend on all before, which keeps SQL out."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
-    rows = d.select("ord", T.framed_prompt(F.substring("text", 1, 60)).alias("prompt"), T.fenced_python(F.substring("text", 61, 200)).alias("completion"))
-    return tokenizer.encode_examples(rows, tokenizer.train(d, 400, Words())).select("ord", "ids", "prompt_len")
+    v = tokenizer.train(mix.first_rows(d, TOKENIZER_DOCS, "ord"), 4_500)
+    return v.frames(spark)[1]

@@ -104,6 +104,12 @@ def records(spark: SparkSession, path: str, schema: T.StructType = RECORD, stric
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def parsed(line: Column, schema: T.StructType = RECORD) -> Column:
+    """A JSON line as a record; null if it isn't one, such as a torn line."""
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return F.when(F.try_parse_json(line).isNotNull(), F.from_json(line, names))
+
+
 def done_keys(spark: SparkSession, path: str, keys: tuple[str, ...] = ("task_id", "sample"), schema: T.StructType = RECORD) -> DataFrame:
     """The distinct keys of all whole lines that have them."""
     out = records(spark, path, schema).select(*keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.numeric import fingerprint
@@ -18,6 +18,11 @@ def save_splits(df: DataFrame, path: str, dry_run: bool = False, mode: str = "er
     return df.groupBy("split").agg(F.count("*").alias("rows"))
 
 
+def json_line(*columns: str) -> Column:
+    """The columns as one JSON line, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

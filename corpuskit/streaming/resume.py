@@ -16,23 +16,17 @@ def record_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100
 
 
 def append_new(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each (task, sample) that the table hasn't yet, appended once. State is the table itself, so that it doesn't grow in memory.
+    """Each (task, sample) that the table hasn't yet, appended once.
 
-    The batch's number names its folder, so a batch that is done again after a failure replaces what it wrote.
+    Whether a key is new is known to the stream's own state store, keyed by (task, sample), so that no batch reads what was written before. The
+    batch's number names its folder, so a batch that is done again after a failure replaces what it wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["task_id", "sample"])
-        earlier = [f"{path}/batch={i}" for i in range(number)]
-        from corpuskit.sources.readers import exists
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-        earlier = [p for p in earlier if exists(spark, p)]
-        if earlier:
-            new = new.join(spark.read.schema(RECORD).parquet(*earlier).select("task_id", "sample"), ["task_id", "sample"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    first = stream.dropDuplicates(["task_id", "sample"])
+    return first.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def shape_once(stream: DataFrame, key: str = "shape", time: str = "at", lateness: str = "1 hour") -> DataFrame:

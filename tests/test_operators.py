@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from corpuskit.config import SOURCES
 from corpuskit.functions import numeric as N
 from corpuskit.functions import python as P
 from corpuskit.functions import text as T
-from corpuskit.operators import dedup, filters, mix, preferences, sandbox, stats
+from corpuskit.operators import builds, dedup, filters, mix, preferences, sandbox, stats
 
 
 def values(spark, texts, *columns):
@@ -150,3 +151,103 @@ def test_ranked_numbers_are_those_of_a_sort(spark, buckets):
         own = {x[0]: n for g in "ab" for n, x in enumerate(sorted((x for x in rows if x[1] == g), key=key))}
         assert {x.i: x.n for x in mix.ranked(df, order, by=["g"], buckets=buckets).collect()} == own
     assert mix.ranked(df.limit(0), "k").count() == 0
+
+
+def test_probe_counts_tasks_not_samples(spark):
+    """Two of three tasks pass, one of them always: whatever the samples, the yield is 2/3."""
+    rows = [("a", i, "PASS" if i == 0 else "FAIL") for i in range(100)] + [("b", i, "PASS") for i in range(3)] + [("c", 0, "ERROR")]
+    df = spark.createDataFrame(rows, "task_id string, sample int, outcome string")
+    r = stats.probe_report(df, 1000, 36.0).first()
+    assert (r.tasks, round(r.rft_yield, 3), round(r.pair_yield, 3), round(r.all_pass, 3), round(r.all_fail, 3)) == (3, 0.667, 0.333, 0.333, 0.333)
+    assert round(r.projected_pairs, 6) == 333.333333 and r.seconds == 36 and abs(r.projected_hours - 36 / 3 * 1000 / 3600) < 1e-9 and r.decision == "proceed"
+    assert stats.probe_report(df, 800).first().decision == "defer" and stats.probe_report(df, 800).first().seconds is None
+    assert stats.probe_report(df.where("task_id = 'c'"), 800).first().decision == "stop"
+
+
+def test_prose_leaves_blank_ends_out(spark):
+    rows = [("s", "  abcd\n\n", "ab", None), ("s", "x", "y", "empty"), ("s", "z", "z", "source_cap")]
+    r = stats.source_stats(spark.createDataFrame(rows, "source string, response string, code string, drop_reason string")).first()
+    assert (r.seen, r.kept, r.response_chars, r.code_chars, r.prose) == (2, 1, 4, 2, 0.5)
+
+
+def test_sources_that_are_not_in_the_order_have_a_reason(spark):
+    rows = [("a", 1, "x", False), ("b", 2, "x", False), (None, 3, "x", False), ("a", 4, None, False), ("a", 5, None, True)]
+    df = spark.createDataFrame(rows, "source string, ord int, shape string, leak boolean")
+    for cap in (None, 0, 9):
+        got = {r.ord: r.drop_reason for r in dedup.capped_first_wins(df, cap, ["a"]).collect()}
+        assert got == {1: None, 2: "unknown_source", 3: "unknown_source", 4: None, 5: None}
+    assert {r.ord: r.drop_reason for r in dedup.capped_first_wins(df, 1, ["a"]).collect()}[4] == "source_cap"
+
+
+def sequential_build(rows, order, index, gates):
+    """The build as a loop, pair by pair."""
+    found, shapes = {}, set()
+    for source in order:
+        kept = 0
+        for s, o, prompt, response in sorted((r for r in rows if r[0] == source), key=lambda r: r[1]):
+            if kept >= gates.per_source:
+                found[o] = "source_cap"
+                continue
+            prompt, response = prompt.strip(), response.strip()
+            blocks = re.findall(r"```([-+_0-9A-Za-z]*)[\t ]*\n(.*?)```", response, re.S)
+            code = blocks[0][1].strip("\n") if blocks else ""
+            names, words = set(re.findall(r"(?m)^\s*def\s+([_A-Za-z]\w*)", code)), set(re.findall("[a-z0-9_]+", prompt.lower()))
+            shape = P.shape_of(code)
+            if not prompt or not response:
+                found[o] = "empty"
+            elif not gates.prompt[0] <= len(prompt) <= gates.prompt[1]:
+                found[o] = "prompt_length"
+            elif prompt.lower().startswith("what is") or "function" not in prompt:
+                found[o] = "not_a_code_request"
+            elif not blocks:
+                found[o] = "no_fenced_block"
+            elif len(blocks) > 1:
+                found[o] = "multi_block"
+            elif blocks[0][0].lower() not in ("", "py", "python", "python3"):
+                found[o] = "not_python"
+            elif not gates.code[0] <= len(code) <= gates.code[1]:
+                found[o] = "code_length"
+            elif len(prompt) + len(code) > gates.pair:
+                found[o] = "pair_too_long"
+            elif shape is None:
+                found[o] = "unparseable"
+            elif shape in shapes:
+                found[o] = "near_duplicate"
+            elif any(name in names and w and len(words & set(w)) / min(len(words), len(w)) >= gates.leak for name, w in index):
+                found[o] = "benchmark_leak"
+            else:
+                found[o] = None
+                kept += 1
+                shapes.add(shape)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_build_is_the_sequential_loop(spark, seed):
+    r = random.Random(seed)
+    index = [("f1", ["add", "two", "numbers", "function", "write"]), ("f2", ["sort"])]
+
+    def pair(i):
+        prompt = r.choice(["Write a function that adds numbers", "write a function: add two numbers", " ", "What is a function in full?", "Tell me something, please, now", "function", "Write a function to sort a list"])
+        n = r.randrange(1, 5)
+        body = f"def f{r.randrange(4)}(x):\n" + f"    x = x + {i} * 1000000\n" * n + "    return x\n" + "# a comment to be long enough, so that it is\n"
+        body = r.choice([body] * 8 + ["x = 1\n", "def (\n" + "#" * 70 + "\n"])
+        block = f"```{r.choice(['python', 'Py', '', 'rust'])}\n{body}```"
+        return prompt, r.choice([block] * 6 + [body, block + block, " ", f"  {block}\n"])
+
+    rows = [(r.choice("abc"), i, *pair(i)) for i in range(250)]
+    for cap in (2, 1000):
+        gates = filters.Gates(per_source=cap)
+        df = spark.createDataFrame(rows, "source string, ord int, prompt string, response string")
+        problems = spark.createDataFrame(index, "entry_point string, bench_words array<string>")
+        got = {x.ord: x.drop_reason for x in builds.filtered_pairs(df, ["b", "c", "a"], problems, gates).collect()}
+        assert got == sequential_build(rows, "bca", index, gates)
+
+
+def test_ranked_by_strings_of_one_beginning(spark):
+    """Keys that share their beginning, and prefixes that most rows have, are still parted."""
+    keys = [f"doc_{i:08d}" for i in range(3000)] + [f"doc_0000{'x' * 30}{i}" for i in range(40_000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    assert {r.k: r.n for r in mix.ranked(df, "k").collect()} == {k: n for n, k in enumerate(sorted(keys))}
+    parts = df.select(mix._prefixes(df, "k", 256).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert parts <= 12_000

@@ -80,3 +80,17 @@ def test_stream_appends_each_record_once(spark, tmp_path):
     resume.append_new(resume.record_stream(spark, str(folder)), *args).awaitTermination()
     rows = spark.read.schema(readers.RECORD).parquet(f"{tmp_path}/out/batch=*").select("task_id", "sample").collect()
     assert sorted(map(tuple, rows)) == [("a", 0), ("b", 1)]
+
+
+def test_many_batches_read_nothing_again(spark, tmp_path):
+    """A batch a file: each key once, and no batch reads the table, so the last takes no longer than the first."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(25):
+        (folder / f"{i:03d}.json").write_text("\n".join(record(f"t{j}", i // 5) for j in range(i, i + 4)))
+    q = resume.append_new(resume.record_stream(spark, str(folder), files_per_trigger=1), f"{tmp_path}/out", f"{tmp_path}/check")
+    q.awaitTermination()
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("task_id", "sample").collect()]
+    assert len(rows) == len(set(rows)) == len({(f"t{j}", i // 5) for i in range(25) for j in range(i, i + 4)})
+    took = [p["batchDuration"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(took) == 25 and sum(took[-5:]) < 3 * sum(took[2:7]) + 2000
