@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.config import SEED, Sentinels
 from corpuskit.functions import text as T
+from corpuskit.operators.mix import ranked
 
 
 def filled_in_middle(ids: Column, key: Column, rate: float, sentinels: Sentinels, spm_rate: float = 0.5, seed: int = SEED) -> Column:
@@ -31,9 +34,20 @@ def with_end(ids: Column, eos: int) -> Column:
     return F.concat(ids, F.array(F.lit(eos)))
 
 
+@F.pandas_udf("binary")
+def _uint16(ids: pd.Series) -> pd.Series:
+    def packed(x: np.ndarray) -> bytes:
+        if len(x) and not 0 <= min(x) <= max(x) < 1 << 16:
+            raise ValueError("ids of two bytes are below 65,536")
+        return np.asarray(x, dtype="<u2").tobytes()
+
+    return ids.map(packed, na_action="ignore")
+
+
 def stream(docs: DataFrame, ids: str = "ids", order: str = "ord") -> DataFrame:
-    """(order, pos, id): the documents' ids one after another, for export."""
-    return docs.select(order, F.posexplode(ids).alias("pos", "id"))
+    """(order, first, n, data): the documents' ids as one stream of two bytes each. first is a document's place in the stream, so that rows in order of it, data after data, are the stream, and any place can be looked up."""
+    sized = docs.select(order, F.size(ids).cast("bigint").alias("n"), _uint16(ids).alias("data"))
+    return ranked(sized, order, "first", weight="n").select(order, "first", "n", "data")
 
 
 def masked_example(ids: Column, prompt_len: Column, block: int, eos: int) -> Column:

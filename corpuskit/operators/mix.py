@@ -33,8 +33,8 @@ def _prefixes(df: DataFrame, column: str, buckets: int) -> Column:
     return place
 
 
-def ranked(df: DataFrame, order: str | Sequence[str], name: str = "n", by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """df with numbers from 0 in order, over all rows or in each group of `by`, without a task that sorts all of them.
+def ranked(df: DataFrame, order: str | Sequence[str], name: str = "n", by: Sequence[str] = (), buckets: int = 256, weight: str | None = None) -> DataFrame:
+    """df with numbers from 0 in order, over all rows or in each group of `by`, without a task that sorts all of them; or with the sum of the column `weight` over all rows before.
 
     Rows are put in buckets that follow the first column of the order, by prefix if it is a string and by approximate
     quantiles otherwise; a row's number is that in its bucket on top of the rows of all buckets before. Any buckets give the same numbers.
@@ -48,12 +48,13 @@ def ranked(df: DataFrame, order: str | Sequence[str], name: str = "n", by: Seque
         bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
         place = F.size(F.filter(bounds, lambda c: c <= F.col(order[0])))
     spot = df.withColumn("__part", place)
-    counts = spot.groupBy(*by, "__part").agg(F.count("*").alias("__rows"))
+    counts = spot.groupBy(*by, "__part").agg((F.sum(weight) if weight else F.count("*")).alias("__rows"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*by, "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
     joined = spot.join(before, [*by, "__part"])
-    within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
-    return joined.withColumn(name, F.col("__before") + within - 1).drop("__part", "__before")
+    own = Window.partitionBy(*by, "__part").orderBy(*order)
+    within = F.coalesce(F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(own) - 1
+    return joined.withColumn(name, F.col("__before") + within).drop("__part", "__before")
 
 
 def with_total(df: DataFrame, name: str = "__total") -> DataFrame:

@@ -162,6 +162,14 @@ def compiled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("ord", F.size("ids").cast("bigint").alias("n"), _digest("ids").alias("digest"))
 
 
+@query(f"""WITH {_WORDS}, {_encoded_sql('e', 'words', 'text', 'ord')}, ended AS (SELECT ord, ids || [256] AS ids FROM e)
+SELECT ord, coalesce(sum(len(ids)) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, len(ids) AS n, md5(array_to_string(list_transform(ids, lambda i: printf('%02X%02X', i % 256, i // 256)), '')) AS digest FROM ended""")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as one stream of ids of two bytes."""
+    made = tokenizer.compile_corpus(plain_words(spark, sf_dir), fixed_vocabulary(), fim_rate=0.0)
+    return examples.stream(made).select("ord", "first", "n", F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
 @query(f"""WITH {_WORDS}, {_encoded_sql('p', 'words', "'## Task\n' || text || '\n\n## Solution\n'", 'ord')}, {_encoded_sql('c', 'words', f"'{T.FENCE}python\n' || text || '\n{T.FENCE}'", 'ord')}
 SELECT ord, md5(array_to_string(p.ids || c.ids, ',')) AS digest, len(p.ids)::INTEGER AS prompt_len FROM p JOIN c USING (ord)""")
 def encoded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

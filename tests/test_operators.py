@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from corpuskit.config import SOURCES
 from corpuskit.functions import numeric as N
 from corpuskit.functions import python as P
 from corpuskit.functions import text as T
-from corpuskit.operators import builds, dedup, filters, mix, preferences, sandbox, stats
+from corpuskit.operators import builds, dedup, evaluation, filters, mix, preferences, sandbox, stats
 
 
 def values(spark, texts, *columns):
@@ -251,3 +253,48 @@ def test_ranked_by_strings_of_one_beginning(spark):
     assert {r.k: r.n for r in mix.ranked(df, "k").collect()} == {k: n for n, k in enumerate(sorted(keys))}
     parts = df.select(mix._prefixes(df, "k", 256).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
     assert parts <= 12_000
+
+
+def test_evaluation_goes_on_where_it_was_broken_off(spark, tmp_path):
+    """Half of the samples are on disk, the last line torn; what is missing is made once, by a generator that counts, and all is summed up."""
+    tasks = spark.createDataFrame([(f"t{i}", f"p{i}", f"assert x == {i}", "") for i in range(4)], "task_id string, prompt string, test_code string, setup_code string")
+    asked = []
+
+    def generate(work):
+        asked.extend(sorted((r.task_id, r.sample) for r in work.collect()))
+        value = F.when(F.col("sample") % 2 == 0, F.substring("task_id", 2, 9)).otherwise("9")
+        return work.withColumn("completion", F.concat(F.lit("Sure:\n```python\nx = "), value, F.lit("\n```")))
+
+    run = lambda rows: sandbox.run_candidates(rows, allow_untrusted_code=True, timeout=20)
+    path = tmp_path / "r"
+    path.mkdir()
+    whole = [{"task_id": t, "sample": s, "outcome": "PASS", "detail": "", "parses": True, "code": "x"} for t in ("t0", "t1") for s in range(3)]
+    (path / "0.json").write_text("\n".join(map(json.dumps, whole)) + "\n" + json.dumps(whole[0] | {"task_id": "t2"})[:40])
+    r = evaluation.evaluate(tasks, generate, run, str(path), samples=3).first()
+    assert asked == [(f"t{i}", s) for i in (2, 3) for s in range(3)]
+    assert (r.tasks, r.samples, r.solved, r.parse_rate) == (4, 12, 4, 1.0) and abs(r.pass_at_1 - (1 + 1 + 2 / 3 + 2 / 3) / 4) < 1e-9 and "pass_at_5" not in r.asDict()
+    asked.clear()
+    assert evaluation.evaluate(tasks, generate, run, str(path), samples=3).first().samples == 12 and not asked
+
+    labels = str(tmp_path / "g")
+    bare = lambda work: generate(work).withColumn("completion", T.extract_code(F.col("completion")))
+    first = evaluation.sample_and_label(tasks.where("task_id < 't2'"), bare, run, labels, samples=2)
+    assert first.count() == 2
+    asked.clear()
+    both = {g.task_id: g for g in evaluation.sample_and_label(tasks, bare, run, labels, samples=2).collect()}
+    assert asked == [(f"t{i}", s) for i in (2, 3) for s in range(2)] and both.keys() == {"t0", "t1", "t2", "t3"}
+    assert [(s.code, s.outcome) for s in both["t2"].samples] == [("x = 2", "PASS"), ("x = 9", "FAIL")] and both["t2"].prompt == "p2"
+
+
+def test_streams_are_two_bytes_an_id(spark):
+    from corpuskit.operators import examples
+
+    df = spark.createDataFrame([(i, [i, 65_535 - i] * (i % 3)) for i in range(50)], "ord int, ids array<int>").repartition(4)
+    rows = examples.stream(df).collect()
+    flat = b"".join(bytes(r.data) for r in sorted(rows, key=lambda r: r.ord))
+    want = [x for i in range(50) for x in [i, 65_535 - i] * (i % 3)]
+    assert list(struct.unpack(f"<{len(want)}H", flat)) == want
+    for r in rows:
+        assert flat[2 * r["first"] : 2 * (r["first"] + r.n)] == bytes(r.data)
+    with pytest.raises(Exception, match="65,536"):
+        examples.stream(spark.createDataFrame([(1, [65_536])], df.schema)).collect()
