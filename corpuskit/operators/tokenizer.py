@@ -196,116 +196,80 @@ def best_pair(pairs: DataFrame) -> DataFrame:
 def learn_merges(vocabulary: Vocabulary, counts: dict[str, int], size: int) -> Vocabulary:
     """Merge the most frequent pair, the least in order on a tie, until the vocabulary has had `size` - its own size turns or no pair is left.
 
-    The first merges touch most words, and are done on arrays of all of them; once one touches few, an index of each pair's words takes over.
+    All words lie in one array of pieces, each with its neighbours' places. A pair's places are kept as they arise, and those that are
+    no longer its own are left out when it is merged, so that a turn costs what it changes, in a few steps over arrays.
     """
     turns = size - len(vocabulary.ids)
-    words, turns = _merge_arrays(vocabulary, counts, turns)
-    _merge_indexed(vocabulary, words, list(counts.values()), turns)
-    vocabulary.__dict__.pop("tokens", None)
-    vocabulary.__dict__.pop("_known", None)
-    return vocabulary
-
-
-def _record(vocabulary: Vocabulary, pair: tuple[str, str]) -> str:
-    vocabulary.ranks[pair] = len(vocabulary.ranks)
-    vocabulary.ids.setdefault(pair[0] + pair[1], len(vocabulary.ids))
-    return pair[0] + pair[1]
-
-
-def _next_pair(heap: list, count: dict) -> tuple[str, str] | None:
-    """The most frequent pair, off the heap; entries of older counts are dropped."""
-    while heap and (count.get(heap[0][1], 0) != -heap[0][0] or heap[0][0] == 0):
-        heapq.heappop(heap)
-    return heapq.heappop(heap)[1] if heap else None
-
-
-def _merge_arrays(vocabulary: Vocabulary, counts: dict[str, int], turns: int) -> tuple[list[list[str]], int]:
-    """(the words' pieces, turns left) after the merges that touch more than few words."""
     encoded = [w.encode("utf-8") for w in counts]
-    lengths = np.array([len(e) for e in encoded], dtype=np.int64)
-    piece = np.frombuffer(b"".join(encoded), dtype=np.uint8).astype(np.int32)
-    word = np.repeat(np.arange(len(encoded), dtype=np.int32), lengths)
-    freq = np.array(list(counts.values()), dtype=np.float64)
+    ends = np.cumsum([len(e) for e in encoded], dtype=np.int64)
+    piece = np.frombuffer(b"".join(encoded), dtype=np.uint8).astype(np.int64)
+    place = np.arange(len(piece))
+    after, before = place + 1, place - 1
+    some = ends[np.diff(ends, prepend=0) > 0]
+    after[some - 1] = before[np.append(0, some[:-1]) if len(some) else some] = -1
+    weight = np.repeat(np.array(list(counts.values()), dtype=np.float64), np.diff(ends, prepend=0))  # exact below 2^53
     names = [BYTE_CHAR[b] for b in range(256)]
     number = {c: i for i, c in enumerate(names)}
-
-    def tally(piece: np.ndarray, word: np.ndarray) -> dict[tuple[str, str], int]:
-        same = word[1:] == word[:-1]
-        both, at = np.unique(piece[:-1][same].astype(np.int64) << 32 | piece[1:][same], return_inverse=True)
-        total = np.bincount(at, weights=freq[word[:-1][same]], minlength=len(both))
-        return {(names[p >> 32], names[p & 0xFFFFFFFF]): int(n) for p, n in zip(both.tolist(), total.tolist(), strict=True)}
-
-    count = tally(piece, word)
-    heap = [(-n, p) for p, n in count.items()]
-    heapq.heapify(heap)
-    while turns > 0 and (pair := _next_pair(heap, count)):
+    count: dict[int, int] = defaultdict(int)
+    where: dict[int, list[np.ndarray]] = defaultdict(list)
+    heap: list[tuple[int, str, str, int]] = []
+
+    def tally(left: np.ndarray, keep: bool) -> dict[int, int]:
+        """How often each pair of the pieces at these places and behind them occurs; if `keep`, the places are noted."""
+        code = piece[left] << 32 | piece[after[left]]
+        order = np.argsort(code, kind="stable")
+        code, left = code[order], left[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        if keep:
+            for c, own in zip(code[first].tolist(), np.split(left, first[1:]) if len(first) else [], strict=True):
+                where[c].append(own)
+        return dict(zip(code[first].tolist(), np.add.reduceat(weight[left], first).tolist() if len(first) else [], strict=True))
+
+    def push(changed: Iterable[int]) -> None:
+        for c in changed:
+            if count[c] > 0:
+                heapq.heappush(heap, (-count[c], names[c >> 32], names[c & 0xFFFFFFFF], c))
+
+    count.update((c, int(n)) for c, n in tally(place[after >= 0], True).items())
+    push(list(count))
+    while turns > 0 and heap:
+        n, left_name, right_name, code = heapq.heappop(heap)
+        if count.get(code) != -n:
+            continue  # of an older count
         turns -= 1
-        new = _record(vocabulary, pair)
+        left, right = code >> 32, code & 0xFFFFFFFF
+        new = _record(vocabulary, (left_name, right_name))
         if new not in number:
             number[new] = len(names)
             names.append(new)
-        left, right = number[pair[0]], number[pair[1]]
-        at = np.flatnonzero((piece[:-1] == left) & (piece[1:] == right) & (word[:-1] == word[1:]))
+        at = np.unique(np.concatenate(where.pop(code)))
+        at = at[(piece[at] == left) & (after[at] >= 0)]
+        at = at[piece[after[at]] == right]
         if left == right:  # of a run, every second place, from the left
-            begins = np.diff(at, prepend=-2) != 1
+            begins = np.ones(len(at), dtype=bool)
+            begins[1:] = after[at[:-1]] != at[1:]
             nth = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
             at = at[nth % 2 == 0]
-        touched = np.zeros(len(encoded), dtype=bool)
-        touched[word[at]] = True
-        part = touched[word]
-        old = tally(piece[part], word[part])
-        piece[at] = number[new]
-        keep = np.ones(len(piece), dtype=bool)
-        keep[at + 1] = False
-        piece, word = piece[keep], word[keep]
-        part = touched[word]
-        fresh = tally(piece[part], word[part])
-        for p in old.keys() | fresh.keys():
-            if (n := fresh.get(p, 0) - old.get(p, 0)) != 0:
-                count[p] = count.get(p, 0) + n
-                heapq.heappush(heap, (-count[p], p))
-        if touched.sum() < len(piece) / 5000:
-            break
-    ends = np.cumsum(np.bincount(word, minlength=len(encoded))).tolist()
-    flat = [names[i] for i in piece.tolist()]
-    return [flat[begin:end] for begin, end in zip([0, *ends], ends, strict=False)], turns
-
-
-def _merge_indexed(vocabulary: Vocabulary, words: list[list[str]], freq: list[int], turns: int) -> None:
-    if turns <= 0:
-        return
-    count: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, parts in enumerate(words):
-        for p in zip(parts, parts[1:], strict=False):
-            count[p] += freq[i]
-            where[p].add(i)
-    heap = [(-n, p) for p, n in count.items()]
-    heapq.heapify(heap)
-    for _ in range(turns):
-        if not (pair := _next_pair(heap, count)):
-            break
-        _record(vocabulary, pair)
-        changed = set()
-        for i in where.pop(pair):
-            old, new = words[i], merged(words[i], pair)
-            for p in zip(old, old[1:], strict=False):
-                count[p] -= freq[i]
-                changed.add(p)
-                if p in where:
-                    where[p].discard(i)
-            for p in zip(new, new[1:], strict=False):
-                count[p] += freq[i]
-                changed.add(p)
-                where[p].add(i)
-            words[i] = new
-        count.pop(pair, None)
-        where.pop(pair, None)
-        for p in changed - {pair}:
-            if count[p] > 0:
-                heapq.heappush(heap, (-count[p], p))
-            else:
-                del count[p]
+        gone, behind = after[at], after[after[at]]
+        old = tally(np.unique(np.concatenate([before[at][before[at] >= 0], at, gone[behind >= 0]])), False)
+        piece[at], piece[gone] = number[new], -1
+        after[at] = behind
+        before[behind[behind >= 0]] = at[behind >= 0]
+        fresh = tally(np.unique(np.concatenate([before[at][before[at] >= 0], at[behind >= 0]])), True)
+        for c, k in old.items():
+            count[c] -= int(k)
+        for c, k in fresh.items():
+            count[c] += int(k)
+        push(old.keys() | fresh.keys())
+    vocabulary.__dict__.pop("tokens", None)
+    vocabulary.__dict__.pop("_known", None)
+    return vocabulary
+
+
+def _record(vocabulary: Vocabulary, pair: tuple[str, str]) -> str:
+    vocabulary.ranks[pair] = len(vocabulary.ranks)
+    vocabulary.ids.setdefault(pair[0] + pair[1], len(vocabulary.ids))
+    return pair[0] + pair[1]
 
 
 def train(docs: DataFrame, size: int, words: Words = Words(), text_col: str = "text", split_specials: bool = False) -> Vocabulary:
