@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 
 import corpus_pipeline
@@ -89,3 +90,36 @@ def test_empty_tables(spark, tmp_path):
     labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and pii.ENTITIES
+
+
+def test_odd_rows_and_columns_pass_every_stage(spark, tmp_path):
+    """Very long texts, nulls, ties, repeated rows and columns that have the names of the stages' own."""
+    docs, labels, texts, toxic = tables(spark, tmp_path / "plain")
+    clean = next(t for t, b in zip(texts, toxic, strict=True) if not b)
+    long = " ".join(f"{w}{i % 5000}" for i, w in enumerate((clean.split() * 40_000)[:250_000]))
+    rows = [(9000, long, "en", "s0", len(long)), (9001, long + " end", "en", "s0", None), (9002, None, "en", None, None), (9003, "?!", None, None, 2), (9003, "?!", None, None, 2), (None, None, None, None, None), (None, long, "en", "s1", 5)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for c in ("id", "key", "bin", "p", "s", "tokens", "scored", "pii_text", "root", "links", "group_id", "selected", "bucket"):
+        docs = docs.withColumn(c, docs["n_chars"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, at, str(tmp_path))
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        kept.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        ids = [r.doc_id for r in at.select("doc_id").collect()]
+        assert (9001 in ids) == (name == "toxicity"), name
+        if name in ("near_dedup", "pii"):
+            assert ids.count(9000) == ids.count(9002) == ids.count(9003) == 1
+    out = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+    chosen = [r for r in at.collect()]
+    assert sum(r.tokens for r in out) == sum(len((r.text or "").split()) for r in chosen)
+
+
+def test_no_folder_stays(spark, tmp_path):
+    tables(spark, tmp_path)
+    folder = corpus_pipeline.checkpoint_dir(spark).removeprefix("file:")
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert not [x for x in os.listdir(folder) if x.startswith("pipeline-")]
