@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corpuskit.config import SEED, Sentinels
 from corpuskit.functions import text as T
@@ -34,7 +35,7 @@ def with_end(ids: Column, eos: int) -> Column:
     return F.concat(ids, F.array(F.lit(eos)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _uint16(ids: pd.Series) -> pd.Series:
     def packed(x: np.ndarray) -> bytes:
         if len(x) and not 0 <= min(x) <= max(x) < 1 << 16:
