@@ -35,23 +35,25 @@ def ordered(df: DataFrame, key: Column | str) -> DataFrame:
     return df.withColumn("ord", F.col(key) if isinstance(key, str) else key)
 
 
-def documents_of(df: DataFrame, source: Source | str, cap: int | None = None) -> DataFrame:
+def documents_of(df: DataFrame, source: Source | str, cap: int | None = None, blank: bool = False) -> DataFrame:
     """(source, ord, text) of a raw source table with its own columns and ord: its language and length filters, and its template.
 
-    Null texts, languages, audiences and formats are dropped.
+    Null texts, languages, audiences and formats are dropped, and so is what is blank. With `blank`, code and prose lose the blanks at their
+    ends alone, as by SQL's trim(), and stay if nothing is left.
     """
     s = BY_NAME[source] if isinstance(source, str) else source
     cap = s.cap if cap is None else cap
     body = F.col(s.response)
     short = under_cap(body, cap)
     if s.kind == "code":
-        keep, text = short & (F.length(body) > 0), X.as_fenced_python(body)
+        keep, text = short & (F.length(body) > 0), X.fenced_python(F.trim(body, F.lit(X.BLANKS))) if blank else X.as_fenced_python(body)
     elif s.kind == "prose":
-        keep, text = short & prose_wanted(F.col("audience"), F.col("format")), X.blank_to_null(body)
+        keep, text = short & prose_wanted(F.col("audience"), F.col("format")), F.trim(body, F.lit(X.BLANKS)) if blank else X.blank_to_null(body)
     else:
         wanted = is_python(F.col(s.language)) if s.language else X.looks_python(F.concat(F.col(s.prompt), body))
         keep, text = short & wanted, X.as_task(F.col(s.prompt), body)
-    return df.where(keep).select(F.lit(s.name).alias("source"), "ord", text.alias("text")).where(X.has_text(F.col("text")))
+    out = df.where(keep).select(F.lit(s.name).alias("source"), "ord", text.alias("text"))
+    return out if blank and s.kind != "instruct" else out.where(X.has_text(F.col("text")))
 
 
 def instruct_rows(df: DataFrame, source: Source | str, limit: int | None = None, max_chars: int = 3_000) -> DataFrame:
