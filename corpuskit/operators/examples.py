@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from corpuskit.config import SEED, Sentinels
 from corpuskit.functions import text as T
+from corpuskit.operators.dedup import checkpointed
 from corpuskit.operators.mix import ranked
 
 
@@ -35,19 +37,22 @@ def with_end(ids: Column, eos: int) -> Column:
     return F.concat(ids, F.array(F.lit(eos)))
 
 
-@F.pandas_udf(BinaryType())
-def _uint16(ids: pd.Series) -> pd.Series:
-    def packed(x: np.ndarray) -> bytes:
-        if len(x) and not 0 <= min(x) <= max(x) < 1 << 16:
-            raise ValueError("ids of two bytes are below 65,536")
-        return np.asarray(x, dtype="<u2").tobytes()
-
-    return ids.map(packed, na_action="ignore")
+@F.arrow_udf(BinaryType())
+def _uint16(ids: pa.Array) -> pa.Array:
+    values = ids.flatten().to_numpy(zero_copy_only=False)
+    if len(values) and not 0 <= values.min() <= values.max() < 1 << 16:
+        raise ValueError("ids of two bytes are below 65,536")
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64) * 2)
+    held = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(values.astype("<u2"))])
+    return pc.if_else(ids.is_valid(), held, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
 def stream(docs: DataFrame, ids: str = "ids", order: str = "ord") -> DataFrame:
-    """(order, first, n, data): the documents' ids as one stream of two bytes each. first is a document's place in the stream, so that rows in order of it, data after data, are the stream, and any place can be looked up."""
-    sized = docs.select(order, F.size(ids).cast("bigint").alias("n"), _uint16(ids).alias("data"))
+    """(order, first, n, data): the documents' ids as one stream of two bytes each. first is a document's place in the stream, so that rows in order of it, data after data, are the stream, and any place can be looked up.
+
+    What is sized is written to the checkpoint folder first, two bytes an id, as numbering goes over it three times and the ids may cost an encoding.
+    """
+    sized = checkpointed(docs.select(order, F.size(ids).cast("bigint").alias("n"), _uint16(ids).alias("data")))
     return ranked(sized, order, "first", weight="n").select(order, "first", "n", "data")
 
 

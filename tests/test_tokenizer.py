@@ -120,3 +120,19 @@ def test_examples_pairs_and_masks(spark, vocabulary):
     assert shown.prompt_text.startswith("ab") and shown.supervised_text == "cd"
     none = tk.shown_mask(x.withColumn("y", F.transform("y", lambda v: F.lit(-1))), vocabulary).first()
     assert none.supervised_text == "<empty>"
+
+
+def test_a_text_is_encoded_once(spark):
+    docs = spark.createDataFrame([(1, "ab ab"), (2, None), (3, "")], "ord long, text string")
+    made = tk.compile_corpus(docs, tk.Vocabulary.new(), fim_rate=0.0)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.ord: len(r.ids) for r in made.collect()} == {1: 6, 3: 1}
+
+
+def test_what_is_kept_of_pre_tokens_is_bounded(monkeypatch):
+    monkeypatch.setattr(tk, "KEPT_WORDS", 10)
+    v = tk.Vocabulary.new()
+    for i in range(100):
+        v.encode(f"w{i} x")
+        assert len(v._known) <= 10
+    assert v.decode(v.encode("w1 x w2")) == "w1 x w2"
