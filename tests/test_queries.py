@@ -55,3 +55,20 @@ def test_mixes_do_not_depend_on_partitions(spark, partitions):
     want = sorted(map(tuple, QUERIES["interleaved"](spark, SF).collect()))
     got = mix.interleave(d.repartition(partitions), mixing.weights(spark), mixing.total(spark, SF)).select("source", "ord", "epoch", "n")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_pairs_behind_a_met_cap_are_not_looked_at(spark, monkeypatch):
+    from corpuskit.config import Gates
+    from corpuskit.operators import dedup
+    from corpuskit.plans import texts
+
+    seen, leaks = [], dedup.leaks
+    monkeypatch.setattr(dedup, "leaks", lambda rows, *args, **options: seen.append(rows.count()) or leaks(rows, *args, **options))
+    fixture, index = texts.instruct_fixture(spark, SF), texts.problem_index(spark, SF)
+    found = {}
+    for n in (10_000, 1):
+        monkeypatch.setattr(builds, "LOOKED_AT", n)
+        made = builds.filtered_pairs(fixture, ["s0", "s1", "s2"], index, Gates(per_source=2))
+        found[n] = sorted(map(repr, made.select("source", "ord", "drop_reason").collect()))
+    assert found[1] == found[10_000]
+    assert seen[1] < seen[0]
