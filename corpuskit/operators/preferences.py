@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
 from corpuskit.functions.python import parses
+from corpuskit.operators.dedup import checkpointed
 from corpuskit.operators.mix import numbered
 
 
@@ -29,26 +30,46 @@ def passing(records: DataFrame) -> DataFrame:
 
 def pairs(records: DataFrame) -> DataFrame:
     """(task_id, prompt, chosen, rejected) of tasks with both outcomes: the shortest passing sample, and the other nearest to it in length; the first on a tie."""
-    length = F.length("code")
-    chosen = records.where("outcome = 'PASS'").groupBy("task_id", "prompt").agg(F.min_by("code", F.struct(length, "sample")).alias("good"))
-    both = records.where("outcome <> 'PASS'").join(chosen, ["task_id", "prompt"])
-    distance = F.struct(F.abs(length - F.length("good")), F.col("sample"))
-    out = both.groupBy("task_id", "prompt", "good").agg(F.min_by("code", distance).alias("bad"))
+    out = chosen_pairs(records.withColumn("__size", F.length("code")), "code", "__size")
     return out.select("task_id", "prompt", T.fenced_python(F.col("good")).alias("chosen"), T.fenced_python(F.col("bad")).alias("rejected"))
 
 
+def chosen_pairs(records: DataFrame, code: str, size: str) -> DataFrame:
+    """(task_id, prompt, good, bad) of the same pairs as the column `code` has them, by the column `size`; `code` may be the code's key, so that no code is moved."""
+    chosen = records.where("outcome = 'PASS'").groupBy("task_id", "prompt").agg(F.min_by(F.struct(code, size), F.struct(size, "sample")).alias("good"))
+    both = records.where("outcome <> 'PASS'").join(chosen, ["task_id", "prompt"])
+    distance = F.struct(F.abs(F.col(size) - F.col("good")[size]), F.col("sample"))
+    out = both.groupBy("task_id", "prompt", "good").agg(F.min_by(code, distance).alias("bad"))
+    return out.select("task_id", "prompt", F.col("good")[code].alias("good"), "bad")
+
+
 def best_of(candidates: DataFrame) -> DataFrame:
     """(task_id, best) of candidates (task_id, sample, code, parses): the first that parses, else the first."""
     return candidates.groupBy("task_id").agg(F.min_by("code", F.struct((~F.col("parses")).cast("int"), "sample")).alias("best"))
 
 
 def harvested(rows: DataFrame, limit: int) -> DataFrame:
-    """The first tasks that bring their own tests, of rows (ord, prompt, completion): the asserts are the tests, the rest is the reference and must parse."""
+    """The first tasks that bring their own tests, of rows (ord, prompt, completion): the asserts are the tests, the rest is the reference and must parse.
+
+    The first rows are gone through, four times as many until they hold `limit` tasks, or all; what comes behind costs its key alone.
+    """
+    most = 4 * limit
+    while True:
+        seen, last = rows.select("ord").orderBy("ord").limit(most).agg(F.count("*"), F.max("ord")).first()
+        if seen < most or last is None:
+            return _harvested(rows).orderBy("ord").limit(limit)
+        out = checkpointed(_harvested(rows.where(F.col("ord").isNull() | (F.col("ord") <= F.lit(last)))).orderBy("ord").limit(limit))
+        if out.count() == limit:
+            return out.orderBy("ord")
+        most *= 4
+
+
+def _harvested(rows: DataFrame) -> DataFrame:
     code = T.unwrapped(F.col("completion"))
     out = rows.select("ord", "prompt", code.alias("code"))
     out = out.select("ord", "prompt", T.assert_lines(F.col("code")).alias("tests"), T.def_names(F.col("code")).alias("names"), F.array_join(T.assert_lines(F.col("code"), others=True), "\n").alias("reference"))
     out = out.where((F.size("tests") > 0) & (F.size("names") > 0)).where(parses(F.col("reference")))
-    return out.select(F.concat(F.lit("sft/"), F.col("ord").cast("string")).alias("task_id"), "ord", "prompt", F.array_join("tests", "\n").alias("test_code"), F.element_at("names", -1).alias("entry_point"), "reference").orderBy("ord").limit(limit)
+    return out.select(F.concat(F.lit("sft/"), F.col("ord").cast("string")).alias("task_id"), "ord", "prompt", F.array_join("tests", "\n").alias("test_code"), F.element_at("names", -1).alias("entry_point"), "reference")
 
 
 def rotated(checkpoints: DataFrame, keep: int = 2) -> DataFrame:
