@@ -132,6 +132,7 @@ def first_fifty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batches_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work in order of length, in batches of 16."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.length("text").alias("len"))
+    d = dedup.checkpointed(d)  # else each bucket's bound would measure the text again
     return mix.chunked(d, 16, "len", "ord").select("ord", "batch_id")
 
 
