@@ -91,6 +91,33 @@ def test_leaks_need_the_name_and_the_words(spark):
     assert [r.k for r in dedup.leaks(rows, dedup.benchmark_index(tasks), "k").collect()] == [1]
 
 
+def test_many_rows_meet_only_the_problems_that_share_rare_words(spark):
+    r = random.Random(5)
+    some = lambda n: [f"w{min(int(r.expovariate(0.02)), 400)}" for _ in range(n)]
+    problems = [(f"f{i % 3}", some(r.randint(1, 40))) for i in range(150)]
+    texts = [some(r.randint(1, 60)) if i % 3 else problems[i % 150][1][: r.randint(1, 40)] + some(r.randint(0, 9)) for i in range(300)] + [[], ["?"]]
+    index = spark.createDataFrame([(e, list(dict.fromkeys(w))) for e, w in [*problems, *problems[:30], ("f0", []), (None, ["w1"])]], "entry_point string, bench_words array<string>")
+    rows = spark.createDataFrame([(i, " ".join(w), f"def f{i % 3}(): 1\ndef f{i % 2}(): 2") for i, w in enumerate(texts)], "k int, prompt string, code string")
+    for threshold in (0.3, 0.7, 1.0):
+        want = {}
+        for i, w in enumerate(texts):
+            for e, b in problems:
+                a, b = set(w) - {"?"}, set(b)
+                if a and e in (f"f{i % 3}", f"f{i % 2}") and (ratio := len(a & b) / min(len(a), len(b))) >= threshold:
+                    want[i] = max(ratio, want.get(i, 0))
+        assert dict(map(tuple, dedup.leaks(rows, index, "k", threshold=threshold, few=10).collect())) == want and 20 < len(want) < 302
+    sets = lambda df, name: df.withColumn(name, F.monotonically_increasing_id())
+    ours = spark.createDataFrame([("f", [f"x{i}", f"y{i}", "a", "b", "c", "d"]) for i in range(40)], "entry_point string, w array<string>")
+    met = dedup.candidates(sets(ours, "__a"), sets(ours, "__b"), 0.7)
+    assert met.count() == 40  # each its own, of 1,600 pairs
+
+
+def test_rows_without_a_shape_are_not_joined(spark):
+    rows = spark.createDataFrame([("a", 1, None, False), ("a", 2, "x", False), ("b", 3, "x", False), ("c", 4, None, False)], "source string, ord int, shape string, leak boolean")
+    out = dedup.capped_first_wins(rows, None, ["a", "b"])
+    assert {r.ord: r.drop_reason for r in out.collect()} == {1: None, 2: None, 3: "near_duplicate", 4: "unknown_source"}
+
+
 def brute_pass(n, c, k):
     return 1.0 if n - c < k else 1.0 - math.prod(1.0 - k / i for i in range(n - c + 1, n + 1))
 
