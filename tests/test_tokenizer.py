@@ -136,3 +136,23 @@ def test_what_is_kept_of_pre_tokens_is_bounded(monkeypatch):
         v.encode(f"w{i} x")
         assert len(v._known) <= 10
     assert v.decode(v.encode("w1 x w2")) == "w1 x w2"
+
+
+def test_many_texts_are_encoded_as_one_by_one(monkeypatch):
+    v = tk.learn_merges(tk.Vocabulary.new(), {"aaaaaaa": 9, "abababa": 7, " the": 5, "then": 3, "é漢": 2}, 400)
+    texts = ["aaaaaaaaaaa aaaa <|eos|> aaa<|indent|>x", "", "<|eos|>", "def self\n\n  the then é漢 " + "a" * 300, "<|eos|><|eos|>b", "abababababa ababa"]
+    want = [v.encode_bytes(t) for t in texts]
+    for most in (3, 100_000):
+        monkeypatch.setattr(tk, "KEPT_WORDS", most)
+        fresh = tk.Vocabulary(v.ids, v.ranks, v.special, v.special_ids, v.locked)
+        assert fresh.encode_many(texts) == want == fresh.encode_many(texts)
+
+
+def test_ids_are_handed_on_by_portions(monkeypatch):
+    monkeypatch.setattr(tk, "BYTES_AT_A_TIME", 10)
+    assert list(tk._portions(tk.np.array([4, 6, 1, 30, 0, 9, 2]))) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+    v = tk.Vocabulary.new()
+    got = tk.encode_udf(v).func(iter([tk.pa.array(["abcdefgh", None, "ij", "", "klmnopqrstuvwxyz"])]))
+    assert [x.to_pylist() for x in got] == [[v.encode("abcdefgh"), None, v.encode("ij"), []], [v.encode("klmnopqrstuvwxyz")]]
+    sides = tk.encode_sides_udf(v).func(iter([tk.pa.array([["ab", None], ["cdefghijkl", ""]])]))
+    assert [x.to_pylist() for x in sides] == [[[v.encode("ab"), None]], [[v.encode("cdefghijkl"), []]]]
